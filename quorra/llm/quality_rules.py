@@ -19,7 +19,7 @@ COMMON = 24
 #: Character classes: upper case, other letters, digits, white space, sentence marks, anything else.
 CLASSES = ("upper", "letter", "digit", "space", "mark", "other")
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) from the reference: character classes, common words.
-MOST_CLASS, MOST_WORD = 0.22, 0.42
+MOST_CLASS, MOST_WORD = 0.30, 0.42
 #: Least characters and words for each comparison.
 LEAST_CHARS, LEAST_WORDS = 200, 40
 #: Languages with fewer documents use the pooled reference.
@@ -67,14 +67,14 @@ def class_counts(text: Column) -> Column:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """(lang, classes, common, shares) of rows(lang, class_n, lower_words); lang null: pooled.
+    """(lang, classes, common, shares) of rows(lang, class_n, words); lang null: pooled.
 
     classes and shares are probabilities; shares belong to the common words, in order, then to all others.
     """
     sums = [F.sum(F.get("class_n", F.lit(k))).alias(c) for k, c in enumerate(CLASSES)]
-    each = rows.groupBy("lang").agg(*sums, F.sum(F.size("lower_words")).alias("total"), F.count("*").alias("docs"))
+    each = rows.groupBy("lang").agg(*sums, F.sum(F.size("words")).alias("total"), F.count("*").alias("docs"))
     each = saved(each, "reference-classes")
-    words = rows.select("lang", F.explode("lower_words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = saved(words.where("n > 1"), "reference-words")
 
     def top(counted: DataFrame) -> DataFrame:
@@ -109,11 +109,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     against the pooled reference. Repeated rows each get a verdict; all rows count for the references. Columns whose
     names clash with a result are replaced. Empty table: empty result.
     """
-    made = ["words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_n", "lower_words", "class_distance", "word_distance", "kept"]
+    made = ["words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_n", "class_distance", "word_distance", "kept"]
     keep = [c for c in docs.columns if c not in made]
     rows = base_statistics(docs.select(*keep)).withColumn("class_n", class_counts(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("lower_words", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    found = references(rows.select("lang", "class_n", "lower_words"))
+    found = references(rows.select("lang", "class_n", "words"))
     found = saved(found, "references")
     known = [r["lang"] for r in found.select("lang").limit(100_001).collect()]
     if len(known) > 100_000:
@@ -122,9 +121,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     pool = found.withColumn("key", F.coalesce("lang", F.lit("\0pooled"))).drop("lang")
     key = F.when(F.col("lang").isin([x for x in known if x is not None][:1000]), F.col("lang")) if len(known) <= 1000 else F.col("lang")
     joined = rows.withColumn("key", F.coalesce(key, F.lit("\0pooled"))).join(F.broadcast(pool), "key", "left")
-    size = F.size("lower_words")
-    bins = F.transform("common", lambda w: (size - F.size(F.array_remove(F.col("lower_words"), w))).cast("double"))
-    joined = joined.withColumn("bins", bins)
+    size = F.size("words")
+    # the place of each word among the common ones (0: none), then how often each place occurs; the places are bound to
+    # a lambda variable, since a column that only a lambda reads is folded into it and made anew for every k
+    places = F.transform("words", lambda w: F.array_position("common", w))
+    often = lambda p: F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: (size - F.size(F.array_remove(p, k.cast("long")))).cast("double"))
+    bins = F.get(F.transform(F.array(places), often), F.lit(0))
+    joined = joined.withColumn("bins", F.when(F.size("common") > 0, bins).otherwise(F.array().cast("array<double>")))
     rest = size - F.aggregate("bins", F.lit(0.0), lambda a, x: a + x)
     mix = F.transform(F.concat("bins", F.array(rest)), lambda x: x / F.greatest(size, F.lit(1)))
     chars = F.aggregate("class_n", F.lit(0).cast("long"), lambda a, x: a + x)
