@@ -1,9 +1,250 @@
-"""All queries of the library and their SQL."""
+"""Queries of the library: each is an operator over views of the tables, with the same steps as SQL for DuckDB."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from quorra.functions.special import critical_r
+from quorra.operators import edges as E
+from quorra.operators import graph as G
+from quorra.operators import inference as I
+from quorra.operators import kernels as K
+from quorra.operators import plotdata as P
+from quorra.operators import tract as T
+from quorra.operators import voxel as V
+from quorra.plans.sql import Duck, Spark, Steps, duck, run
+from quorra.sources import files, views
+from quorra.streaming import running
+
+TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "embeddings", "events")
+NODES = 25
+B = 50
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(steps: Steps, exact: str, rounded: str = "", digits: int = 6) -> Steps:
+    """The last step's columns; those of the second list rounded well above the noise of summation order."""
+    names = [*exact.split(), *(f"round({c}, {digits}) AS {c}" for c in rounded.split())]
+    return [*steps, ("picked_columns", f"SELECT {', '.join(names)} FROM {steps[-1][0]}")]
+
+
+def _stats(d) -> Steps:
+    return E.edge_stats_steps(d, B)
+
+
+def _signals(d) -> Steps:
+    return [*views.profiles(d), ("signals", "SELECT sid AS voxel, pt AS g, 100 * exp(v) AS s FROM profiles WHERE sid < 40")]
+
+
+def _fixed_partitions(d) -> Steps:
+    return [("partitions", f"SELECT r, n_nationkey AS node, (n_nationkey * (r + 3) + r) % 5 AS community FROM {{nation}} CROSS JOIN {d.series(8, 'r')} x")]
+
+
+def _plans() -> dict[str, tuple[Callable, Callable]]:
+    """name -> (views of a dialect, steps of a dialect)."""
+    streams = lambda d: views.streamlines("sparse")
+    graph = lambda d: [*views.edges(), *views.partition(), *views.nodes()]
+    group = lambda d: views.subject_edges()
+    brain = lambda d: [*views.subject_edges(), *views.behavior()]
+    lines = views.profiles
+    stats_cols = "observed mean std cv ci_low ci_high median iqr p_nonzero"
+    t_steps = lambda d: I.ttest_steps("{subject_edges}")
+    cut = critical_r(24, 0.01)
+    return {
+        "build_sc": (streams, lambda d: _pick(E.build_sc_steps(), "i j w")),
+        "bootstrap_edge_stats": (streams, lambda d: _pick(_stats(d), "i j", stats_cols)),
+        "bootstrap_poisson": (streams, lambda d: _pick(E.edge_stats_steps(d, B, method="poisson"), "i j", stats_cols)),
+        "bootstrap_normal_ci": (streams, lambda d: _pick([(n, q.replace("FROM range(5001)", "FROM range(40)").replace("/ 5001", "/ 40")) for n, q in E.edge_stats_steps(d, 5001)], "i j", "mean ci_low ci_high")),
+        "classify_edges": (streams, lambda d: _pick([*_stats(d), *E.classes_steps("edge_stats")], "i j label", "p_nonzero cv")),
+        "classify_prevalence": (group, lambda d: _pick([*E.prevalence_steps(), *E.classes_steps("prevalence")], "i j label", "p_nonzero cv")),
+        "edge_class_counts": (group, lambda d: [*E.prevalence_steps(), *E.classes_steps("prevalence"), *E.class_counts_steps("classes", str(NODES))]),
+        "disparity_backbone": (graph, lambda d: _pick(E.disparity_steps(0.1), "i j kept", "w")),
+        "assignments_from_sc": (graph, lambda d: _pick(E.expand_steps(d, 30), "a b k", "weight", 5)),
+        "node_strength": (graph, lambda d: _pick(G.strength_steps(), "node degree", "strength")),
+        "strength_summary": (graph, lambda d: _pick(G.summary_steps(), "", "density mean_strength strength_std")),
+        "modularity_fixed": (graph, lambda d: _pick(G.modularity_steps(), "", "modularity")),
+        "transitivity": (graph, lambda d: _pick(G.transitivity_steps(), "", "transitivity")),
+        "clustering": (graph, lambda d: _pick(G.clustering_steps(), "", "clustering")),
+        "participation": (graph, lambda d: _pick(G.participation_steps(), "node", "participation")),
+        "within_module_z": (graph, lambda d: _pick(G.within_z_steps(), "node", "z")),
+        "hub_class": (graph, lambda d: _pick(G.hub_steps(d), "node hub_class", "strength participation z")),
+        "rich_club_phi": (graph, lambda d: _pick(G.rich_club_steps(d), "k n_rich", "phi")),
+        "coassignment_fixed": (_fixed_partitions, lambda d: _pick(G.coassignment_steps(), "i j", "p")),
+        "edge_ttest": (group, lambda d: _pick(t_steps(d), "i j", "diff t", 5)),
+        "perm_edges_fdr": (group, lambda d: _pick(I.permutation_edges_steps(d, 50, "fdr"), "i j", "diff p p_corrected")),
+        "perm_edges_bonferroni": (group, lambda d: _pick(I.permutation_edges_steps(d, 50, "bonferroni"), "i j", "diff p p_corrected")),
+        "perm_global_weight": (group, lambda d: _pick(I.permutation_global_steps(d, 200), "", "diff p")),
+        "cpm_bagged": (brain, lambda d: _pick(I.cpm_steps(d, 20, cut), "subject", "actual predicted ci_low ci_high", 3)),
+        "pls_single": (brain, lambda d: _pick(I.pls_single_steps(), "i j", "weight", 6)),
+        "tract_bootstrap": (lines, lambda d: _pick(T.tract_bootstrap_steps(d, 20), "pt", "mean std ci_low ci_high median")),
+        "tract_compare": (lines, lambda d: _pick(T.tract_compare_steps(), "pt", "diff t d")),
+        "tract_clusters": (lines, lambda d: _pick([*T.tract_compare_steps(), *T.clusters_steps("compared", 1.0)], "first_pt last_pt extent", "mass peak")),
+        "bundle_stability": (lines, lambda d: _pick(T.bundle_stability_steps(d, 50), "label n_lines", "stability")),
+        "resample_streamline": (lines, lambda d: _pick([("few", "SELECT * FROM {profiles} WHERE sid < 60"), *[(n, q.replace("{profiles}", "few")) for n, q in T.resample_steps(d)]], "sid k", "x y", 4)),
+        "dti_wild_bootstrap": (_signals, lambda d: _pick(V.wild_steps(d, 3), "r voxel c", "value", 7)),
+        "csd_residual_bootstrap": (_signals, lambda d: _pick(V.residual_steps(d, 2, [1.0, 0.5, 0.1]), "r voxel c", "value", 5)),
+        "plot_uncertainty": (streams, lambda d: _pick([*_stats(d), *P.uncertainty_steps(d, "edge_stats")], "", "mean_low mean_high std_low std_high cv_high mean_cv")),
+        "plot_communities": (graph, lambda d: _pick(P.ordered_nodes_steps(), "node community place boundary")),
+        "plot_clinical": (graph, lambda d: _pick([*G.strength_steps(), *P.clinical_steps()], "node side", "strength r slope intercept")),
+        "plot_nbs": (group, lambda d: _pick([*t_steps(d), *P.nbs_steps(d, "ttest", 2.0)], "n_beyond", "t_high", 5)),
+        "plot_hubs": (graph, lambda d: _pick([*G.hub_steps(d)[:-1], ("hubs", G.hub_steps(d)[-1][1]), *P.hub_order_steps("hubs")], "node hub_class by_strength by_participation", "strength participation z")),
+        "plot_cpm": (brain, lambda d: _pick([*I.cpm_steps(d, 20, cut)[:-1], ("predictions", I.cpm_steps(d, 20, cut)[-1][1]), *P.prediction_steps("predictions")], "", "r slope intercept width", 2)),
+    }
+
+
+def _views(spark: SparkSession, sf_dir: str, steps: Steps) -> dict[str, DataFrame]:
+    """The views that steps define, one DataFrame each."""
+    tables = {t: _table(spark, sf_dir, t) for t in TABLES}
+    out = {}
+    for k, (name, _) in enumerate(steps):
+        used = {t: df for t, df in tables.items() if any("{" + t + "}" in q for _, q in steps[: k + 1])}
+        out[name] = run(spark, [*steps[:k], (name, steps[k][1])], **used)
+    return out
+
+
+def _query(make_views, make_steps):
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        steps = make_steps(Spark)
+        defined = make_views(Spark)
+        inputs = _views(spark, sf_dir, defined) | {"nation": _table(spark, sf_dir, "nation")}
+        return run(spark, steps, **{n: df for n, df in inputs.items() if any("{" + n + "}" in q for _, q in steps)})
+
+    return call
+
+
+def _samples(spark: SparkSession, sf_dir: str, replicates: int = 6) -> DataFrame:
+    """(r, i, j, w) of the sparse streamlines, weights in units of a million hundredths."""
+    made = E.bootstrap_samples(_views(spark, sf_dir, views.streamlines("sparse"))["streamlines"], replicates)
+    return made.withColumn("w", F.col("w") / 1e6)
+
+
+def _graph(spark, sf_dir):
+    return _views(spark, sf_dir, views.edges())["edges"]
+
+
+def _one(spark, sf_dir):
+    return _graph(spark, sf_dir).withColumn("r", F.lit(0).cast("long"))
+
+
+def _metric(name: str, compat: bool = False):
+    def call(spark, sf_dir):
+        values = K.global_metrics(_one(spark, sf_dir), NODES, compat)
+        return values.where(F.col("metric") == name).select(F.round("value", 6).alias(name))
+
+    return call
+
+
+def _paths(spark, sf_dir):
+    import pandas as pd
+
+    def run_one(pdf):
+        far = K.shortest(K.matrix(pdf, NODES))
+        return pd.DataFrame([(i, j, round(float(far[i, j]), 6)) for i in range(NODES) for j in range(NODES) if i < j and far[i, j] < float("inf")], columns=["i", "j", "d"])
+
+    return _one(spark, sf_dir).groupBy("r").applyInPandas(run_one, "i int, j int, d double")
+
+
+def _closure(zero_absent: bool, tail: str) -> str:
+    """All-pairs paths by min-plus squaring in SQL."""
+    length = "CASE WHEN a.node = b.node THEN 0.0 WHEN w > 0 THEN 1 / w ELSE " + ("0.0" if zero_absent else "1e300") + " END"
+    steps = [
+        G.ENDS,
+        ("d0", f"SELECT a.node AS i, b.node AS j, {length} AS d FROM {{nodes}} a CROSS JOIN {{nodes}} b LEFT JOIN ends ON ends.node = a.node AND ends.other = b.node"),
+        *[(f"d{k}", f"SELECT x.i, y.j, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.j = y.i GROUP BY x.i, y.j") for k in range(1, 6)],
+        ("out", tail),
+    ]
+    return duck([*views.edges(), *views.nodes()], steps)
+
+
+def _kernels() -> dict[str, Callable]:
+    cohort = lambda s, d: _views(s, d, views.subject_edges())["subject_edges"]
+
+    def louvain(s, d):
+        return K.partitions(_samples(s, d), NODES)
+
+    def consensus(s, d):
+        return K.consensus(G.coassignment(K.partitions(_samples(s, d), NODES).select("r", "node", "community")), NODES)
+
+    def metrics_ci(s, d):
+        return K.metric_summary(K.global_metrics(_samples(s, d), NODES), ["metric"])
+
+    def nodal_ci(s, d):
+        return K.metric_summary(K.nodal_metrics(_samples(s, d, 3), NODES).selectExpr("node", "stack(3, 'strength', strength, 'local_efficiency', local_efficiency, 'betweenness', betweenness) AS (metric, value)"), ["metric", "node"])
+
+    def communicability(s, d):
+        return K.metric_summary(K.communicability_cells(_samples(s, d), NODES), ["i", "j"])
+
+    def stream(s, d):
+        return running.running_statistics(_table(s, d, "events"), "event_type", "value").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "var", "std", "p_nonzero")])
+
+    def text_matrix(s, d):
+        nodes = _views(s, d, views.nodes())["nodes"]
+        return files.matrix_rows(_graph(s, d), nodes, "w", "%.2f")
+
+    def pls(s, d):
+        e = cohort(s, d)
+        subjects = e.select("subject").distinct()
+        grid = e.select("i", "j").distinct().crossJoin(subjects)  # edges by subjects: both bounded by the cohort
+        x = grid.join(e, ["subject", "i", "j"], "left").select("subject", (F.col("i") * NODES + F.col("j")).alias("feature"), F.coalesce("w", F.lit(0.0)).alias("x"))
+        b = _views(s, d, views.behavior())["behavior"]
+        y = b.select("subject", F.lit(0).alias("var"), F.col("value").alias("y")).unionByName(b.select("subject", F.lit(1).alias("var"), F.sqrt(F.abs("value")).alias("y")))
+        return K.pls(x, y, 2, 40, 40)
+
+    return {
+        "louvain": louvain,
+        "community_consensus": consensus,
+        "graph_metrics_ci": metrics_ci,
+        "nodal_metrics_ci": nodal_ci,
+        "communicability": communicability,
+        "betweenness": lambda s, d: K.nodal_metrics(_one(s, d), NODES).select("node", "betweenness"),
+        "rewire_degrees": lambda s, d: K.rewired(_one(s, d), NODES, 2),
+        "rich_club_normalized": lambda s, d: K.rich_club_normalized(_samples(s, d, 2), NODES, 5),
+        "small_world": lambda s, d: K.small_world_propensity(_samples(s, d, 2), NODES, 3, 3),
+        "nbs_fwer": lambda s, d: K.nbs(cohort(s, d), NODES, 2.0, 30),
+        "tfnbs": lambda s, d: K.tfnbs(K.permuted_tests(cohort(s, d), 5), NODES),
+        "pls_bootstrap": pls,
+        "shortest_paths": _paths,
+        "global_efficiency": _metric("global_efficiency"),
+        "global_efficiency_compat": _metric("global_efficiency", True),
+        "char_path_length": _metric("path_length"),
+        "running_statistics": stream,
+        "text_matrix": text_matrix,
+        "voxel_connectome": _voxel,
+    }
+
+
+def _voxel(spark, sf_dir):
+    import pandas as pd
+
+    signals = _views(spark, sf_dir, _signals(Spark))["signals"]
+    fields = run(spark, V.wild_steps(Spark, 3), signals=signals)
+
+    def track(r, pdf):
+        # a stub: voxels are dealt to five parcels, neighbours on the ring share the mean trace of their tensors
+        trace = pdf[pdf["c"] <= 3].groupby("voxel")["value"].sum().abs()
+        mean = trace.groupby(trace.index % 5).mean()
+        return pd.DataFrame({"i": range(4), "j": range(1, 5), "w": [float(mean.get(k, 0) + mean.get(k + 1, 0)) for k in range(4)]})
+
+    return V.voxel_connectome(fields, track, 5)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _query(*plan) for name, plan in _plans().items()} | _kernels()
+
+
+def oracle_sql() -> dict[str, str]:
+    made = {name: duck(v(Duck), s(Duck)) for name, (v, s) in _plans().items()}
+    n = NODES * (NODES - 1)
+    return made | {
+        "shortest_paths": _closure(False, "SELECT i, j, round(d, 6) AS d FROM d5 WHERE i < j AND d < 1e299"),
+        "global_efficiency": _closure(False, f"SELECT round(sum(CASE WHEN i <> j AND d < 1e299 THEN 1 / d ELSE 0 END) / {n}, 6) AS global_efficiency FROM d5"),
+        "global_efficiency_compat": _closure(True, f"SELECT round(sum(CASE WHEN d > 0 THEN 1 / d ELSE 0 END) / {n}, 6) AS global_efficiency FROM d5"),
+        "char_path_length": _closure(False, "SELECT round(avg(d), 6) AS path_length FROM d5 WHERE i <> j AND d < 1e299"),
+        "running_statistics": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS var, round(stddev_pop(value), 6) AS std, round(cast(sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS double) / count(value), 6) AS p_nonzero FROM events GROUP BY event_type",
+    }
