@@ -211,9 +211,10 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     A 64-bit SimHash within three bits only sees pairs that are nearly the same, so candidates come from the
     whole-text fingerprints through the pivot tables and from sampled fingerprints (SimHash of a few shingles
-    that are smallest under fixed orders), and every candidate is verified on the whole shingle sets. Equal
-    texts are one node. In a bucket all members are held against its smallest member; those that fail
-    are held against the smallest of themselves, until none is left, so no member stays unverified.
+    that are smallest under fixed orders), and candidates are verified on the whole shingle sets. Equal texts are one
+    node. Candidates form components; within one, every pair that is not yet connected by verified links is verified,
+    so none is lost: members of a large component are first held against a few of its members in turn, and what is not
+    connected with the component's largest class after that is held against all its members, block by block.
     class_id is the smallest doc_id of the class. Null text equals empty text.
     """
     base = docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -239,29 +240,14 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     close = connected_components(fingerprint_links(points.select("fp"), radius), "similar-close")
     bucket = marks.join(close, marks.fp == close.node, "left").select(marks.node, F.lit(-1).alias("kind"), F.coalesce("root", "fp").alias("value"))
     bucket = bucket.unionByName(marks.select("node", F.posexplode("sampled").alias("kind", "value")))
-    crowded = bucket.groupBy("kind", "value").count().where("count > 1").select("kind", "value")
-    left = saved(bucket.join(crowded, ["kind", "value"], "left_semi"), "similar-buckets")
-    one = nodes.join(left.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("n"), "first_id")  # one row a text
+    bucket = saved(bucket, "similar-buckets")
+    first = bucket.groupBy("kind", "value").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    stars = bucket.join(first, ["kind", "value"]).select(F.col("node").alias("a"), F.col("head").alias("b")).where("a != b").distinct()
+    groups = saved(connected_components(stars, "similar-groups").withColumnRenamed("root", "comp"), "similar-members")
+    one = nodes.join(groups, "node", "left_semi").select(F.col("node").alias("n"), "first_id")  # one row a text
     one = base.join(one, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = saved(one.select("node", "text").mapInPandas(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "similar-sets")
-    tried = None
-    while True:
-        heads = left.groupBy("kind", "value").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        left = saved(left.join(heads, ["kind", "value"]).where("node != head"), "similar-left")
-        pairs = left.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-        both = fresh.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        ok = (shared > 0) & (shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared))
-        seen = saved(both.select("a", "b", ok.alias("ok")), "similar-seen")
-        tried = seen.select("a", "b", "ok") if tried is None else tried.unionByName(seen)
-        gone = tried.where("ok").select(F.col("a").alias("head"), F.col("b").alias("node"))
-        rest = left.join(gone, ["head", "node"], "left_anti").select("node", "kind", "value")
-        left = rest
-        if rest.groupBy("kind", "value").count().where("count > 1").isEmpty():
-            break
-    found = tried.where("ok").select("a", "b")
+    found = verified_links(groups, sets, similarity)
     roots = connected_components(found, "similar-components")
     linked = nodes.join(roots, "node").select("text_key", "root", "first_id")
     low = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
@@ -270,6 +256,90 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     return ids.join(labels, "text_key").select("doc_id", "text_key", "class_id")
 
 
+def _similar(of_a: F.Column, of_b: F.Column, similarity: float) -> F.Column:
+    shared = F.size(F.array_intersect(of_a, of_b))
+    return (shared > 0) & (shared >= F.lit(similarity) * (F.size(of_a) + F.size(of_b) - shared))
+
+
+def _apart(groups: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members (comp, node) outside the largest verified class of their component; all, if nothing is verified yet."""
+    if links is None:
+        return groups
+    roots = connected_components(links, "similar-verified")
+    placed = groups.join(roots, "node", "left").select("comp", "node", F.coalesce("root", "node").alias("class"))
+    placed = saved(placed, "similar-placed")
+    largest = placed.groupBy("comp", "class").count().groupBy("comp").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
+    return placed.join(largest, "comp").where("class != main").select("comp", "node")
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: int = 512, rounds: int = 6) -> DataFrame:
+    """(a, b): links of the given similarity within the components of groups(node, comp); their classes are exact.
+
+    sets is (node, shingles: distinct hashes). Components of up to ``few`` members are compared within one block. Larger
+    ones are narrowed down first: in each round what is apart is held against one more member.
+    """
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("n"))
+    large = saved(sizes.where(F.col("n") > few).select("comp"), "similar-large")
+    links = None
+    rest = groups
+    if not large.isEmpty():
+        mine = saved(groups.join(large, "comp", "left_semi").select("comp", "node"), "similar-crowd")
+        rest = mine
+        for k in range(rounds):
+            heads = mine.groupBy("comp").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("a"))
+            heads = heads.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+            pairs = rest.join(heads, "comp").where("node != a").join(sets, "node")
+            good = saved(pairs.where(_similar(F.col("of_a"), F.col("shingles"), similarity)).select("a", F.col("node").alias("b")), "similar-good")
+            links = good if links is None else links.unionByName(good)
+            rest = saved(_apart(mine, links), "similar-rest")
+            if rest.isEmpty():
+                break
+        rest = rest.unionByName(groups.join(large, "comp", "left_anti").select("comp", "node"))
+    count = rest.groupBy("comp").agg(F.count("*").alias("m"))
+    wanted = sizes.join(count, "comp").select("comp", F.ceil(F.col("m") / few).cast("int").alias("nc"), F.ceil(F.col("n") / (4 * few)).cast("int").alias("nd"), (F.col("n") <= few).alias("whole"))
+    wanted = saved(wanted, "similar-blocks")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(wanted, "comp").select("comp", "node", spot("nc").alias("c"), span("nd").alias("d"), F.when(F.col("whole"), 2).otherwise(0).alias("side"))
+    right = groups.join(wanted.where("not whole"), "comp").select("comp", "node", spot("nd").alias("d"), span("nc").alias("c"), F.lit(1).alias("side"))
+    dealt = left.unionByName(right)
+    slots = parts(dealt.count(), 2000)
+    dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("comp", "c", "d"), F.lit(slots)).cast("int")).join(sets, "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, block in pdf.groupby(["comp", "c", "d"], sort=False):
+            side, node = block["side"].to_numpy(), block["node"].to_numpy()
+            a, b = _alike([x for x in block["shingles"]], np.flatnonzero(side != 1), np.flatnonzero(side != 0), similarity)
+            label = _joined(np.arange(len(node)), a, b)
+            moved = np.flatnonzero(label != np.arange(len(node)))
+            out.append(pd.DataFrame({"a": node[moved], "b": node[label[moved]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    blocks = dealt.select("slot", "comp", "c", "d", "side", "node", "shingles").groupBy("slot").applyInPandas(compare, "a long, b long")
+    return blocks if links is None else blocks.unionByName(links)
+
+
+def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (of left, of right) whose sets reach the similarity: shared shingles by products of 0/1 matrices."""
+    size = np.array([len(x) for x in sets])
+    value, at = np.unique(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    twice = np.flatnonzero(np.bincount(at, minlength=len(value)) > 1)  # a shingle of one set is shared with none
+    place = np.full(len(value), -1)
+    place[twice] = np.arange(len(twice))
+    column = place[at]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for k in range(0, len(twice), 8192):
+        some = (column >= k) & (column < k + 8192)
+        table = np.zeros((len(sets), min(8192, len(twice) - k)), dtype=np.float32)
+        table[owner[some], column[some] - k] = 1
+        shared += table[left] @ table[right].T
+    ok = (shared > 0) & (shared >= similarity * (size[left][:, None] + size[right][None, :] - shared) - 1e-6)
+    a, b = np.nonzero(ok)
+    return left[a], right[b]
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one row (that of the smallest doc_id) of each near-duplicate class; columns as given."""
     classes = similar_classes(docs, shingle, similarity)
