@@ -120,7 +120,7 @@ def _blocks(rows: int, radius: int) -> list[int]:
 
 
 def _within(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group, as index pairs (row, smallest row of its class)."""
+    """Classes of the links inside each group, as index pairs (row, first row of its class)."""
     table = np.stack([np.bitwise_count(fp ^ p) for p in pivots()], axis=1).astype(np.int8)
     order = np.lexsort((table[:, 0], group))  # inside a group ascending by the first coordinate
     fp, group, table, label = fp[order], group[order], table[order], np.arange(len(fp))
@@ -156,9 +156,10 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (a, b) between values of the long column fp of distinct (no repeats) at most radius bits apart.
+    """Edges (a, b) whose components are those of all links of at most radius bits between values of the column fp.
 
-    Not all links: in each bucket a spanning forest, so components are those of all links.
+    distinct has no repeats. In each bucket a value gets one edge, to the first value of its class there, which
+    other links of the bucket may lie between.
     """
     rows = distinct.count()
     cuts = _blocks(rows, radius)
