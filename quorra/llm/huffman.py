@@ -210,7 +210,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, file_
             store.delete_file(at)
             yield pd.DataFrame({"file": [file]})
 
-    spark.range(0, count, 1, count).mapInPandas(recode, "file int").count()
+    # every file that a task has made: their number is that of the partitions, which need not be the one asked for
+    top = made.agg(F.max("file")).first()[0] + 1
+    spark.range(0, top, 1, top).mapInPandas(recode, "file int").count()
     return made.select("file", "docs", "ids").orderBy("file")
 
 
