@@ -27,9 +27,21 @@ LEAST_DOCS = 20
 WINDOW = 5
 
 
-def _left(text: Column, pattern: str) -> Column:
-    """Code points of text that the class does not hold are removed; how many are left."""
-    return F.length(F.regexp_replace(text, F.lit(pattern), F.lit(""))).cast("long")
+def _kept(text: Column, pattern: str) -> Column:
+    """text without what the pattern matches."""
+    return F.regexp_replace(text, F.lit(pattern), F.lit(""))
+
+
+def _points(text: Column) -> Column:
+    return F.length(text).cast("long")
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, in order; null: none. Plain replacing and splitting, which cost a fraction of a pattern."""
+    body = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        body = F.replace(body, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(body, " "), "")
 
 
 def _repeat_words() -> Column:
@@ -39,11 +51,22 @@ def _repeat_words() -> Column:
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """docs with words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; null text: none."""
+    """docs with words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_n; null text: none.
+
+    class_n has the code points of each of CLASSES, in order.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("words", F.regexp_extract_all(body, F.lit(WORD), F.lit(0))).withColumn("n_words", F.size("words").cast("long"))
-    out = out.withColumn("word_chars", _left(body, r"[\x20\x09-\x0D]+"))
-    out = out.withColumn("n_symbols", F.length(body).cast("long") - _left(body, r"[#*$%&|<>]+"))
+    out = docs.withColumn("words", words_of(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
+    # every pattern reads what the one before has left: letters are most of a text, the rest is short
+    out = out.withColumn("solid", F.array_join("words", "")).withColumn("word_chars", _points(F.col("solid")))
+    out = out.withColumn("signs", _kept(F.col("solid"), r"\p{L}+"))
+    out = out.withColumn("others", _kept(F.col("signs"), r"\p{N}+"))
+    letters, n_signs, n_others = F.col("word_chars") - _points(F.col("signs")), _points(F.col("signs")), _points(F.col("others"))
+    upper = F.col("word_chars") - _points(_kept(F.col("solid"), r"\p{Lu}+"))
+    unmarked = _points(_kept(F.col("others"), r"""[.,;:!?'"()\-]+"""))
+    out = out.withColumn("n_symbols", n_others - _points(_kept(F.col("others"), r"[#*$%&|<>]+")))
+    out = out.withColumn("class_n", F.array(upper, letters - upper, n_signs - n_others, _points(body) - F.col("word_chars"), n_others - unmarked, unmarked))
+    out = out.drop("solid", "signs", "others")
     out = out.withColumn("lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)))
     out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     spots = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
@@ -58,41 +81,41 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def class_counts(text: Column) -> Column:
-    """Code points of each of CLASSES, in order."""
-    total = F.length(text).cast("long")
-    upper, letter = total - _left(text, r"\p{Lu}+"), total - _left(text, r"\p{L}+")
-    digit, space, mark = total - _left(text, r"\p{N}+"), total - _left(text, r"[\x20\x09-\x0D]+"), total - _left(text, r"""[.,;:!?'"()\-]+""")
-    return F.array(upper, letter - upper, digit, space, mark, total - letter - digit - space - mark)
-
+def common_words(docs: DataFrame) -> DataFrame:
+    """(key, common, n): the COMMON commonest words and their counts, for each lang of LEAST_DOCS documents and pooled.
 
-def references(rows: DataFrame) -> DataFrame:
-    """(lang, classes, common, shares) of rows(lang, class_n, words); lang null: pooled.
-
-    classes and shares are probabilities; shares belong to the common words, in order, then to all others.
+    key is the lang after an "l", or "p" for all documents pooled. A language without words has no row.
     """
-    sums = [F.sum(F.get("class_n", F.lit(k))).alias(c) for k, c in enumerate(CLASSES)]
-    each = rows.groupBy("lang").agg(*sums, F.sum(F.size("words")).alias("total"), F.count("*").alias("docs"))
-    each = saved(each, "reference-classes")
-    words = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words = saved(words.where("n > 1"), "reference-words")
+    langs = docs.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("count") >= LEAST_DOCS)).select("lang")
+    words = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = saved(words, "reference-words")
 
     def top(counted: DataFrame) -> DataFrame:
-        first = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON)
+        first = counted.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON)
         listed = F.sort_array(F.collect_list(F.struct("r", "word", "n")))
-        return first.groupBy("lang").agg(listed.alias("x"))
+        return first.groupBy("key").agg(listed.alias("x"))
 
-    pooled = F.lit(None).cast("string").alias("lang")
-    mixes = each.where((F.col("docs") >= LEAST_DOCS) & F.col("lang").isNotNull()).drop("docs")
-    mixes = mixes.unionByName(each.agg(*[F.sum(c).alias(c) for c in (*CLASSES, "total")]).select(pooled, *CLASSES, "total"))
-    both = top(words.where(F.col("lang").isNotNull())).unionByName(top(words.groupBy("word").agg(F.sum("n").alias("n")).select(pooled, "word", "n")))
-    out = mixes.alias("m").join(both.alias("b"), F.col("m.lang").eqNullSafe(F.col("b.lang")), "left")
+    own = words.join(langs, "lang").select(F.concat(F.lit("l"), "lang").alias("key"), "word", "n")
+    every = words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select(F.lit("p").alias("key"), "word", "n")
+    both = top(own.where("n > 1")).unionByName(top(every))
+    return both.select("key", F.transform("x", lambda e: e["word"]).alias("common"), F.transform("x", lambda e: e["n"]).alias("n"))
+
+
+def references(measured: DataFrame, common: DataFrame) -> DataFrame:
+    """(key, classes, shares) of measured(lang, class_n, n_words): probabilities for each lang of LEAST_DOCS documents and pooled.
+
+    shares belong to the common words, in order, then to all others.
+    """
+    sums = [F.sum(F.get("class_n", F.lit(k))).alias(c) for k, c in enumerate(CLASSES)]
+    each = saved(measured.groupBy("lang").agg(*sums, F.sum("n_words").alias("total"), F.count("*").alias("docs")), "reference-classes")
+    mixes = each.where((F.col("docs") >= LEAST_DOCS) & F.col("lang").isNotNull()).select(F.concat(F.lit("l"), "lang").alias("key"), *CLASSES, "total")
+    mixes = mixes.unionByName(each.agg(*[F.sum(c).alias(c) for c in (*CLASSES, "total")]).select(F.lit("p").alias("key"), *CLASSES, "total"))
     all_chars = F.greatest(sum((F.coalesce(F.col(c), F.lit(0)) for c in CLASSES), F.lit(0)), F.lit(1))
     classes = F.array(*[F.coalesce(F.col(c), F.lit(0)) / all_chars for c in CLASSES])
-    n = F.coalesce(F.transform("x", lambda e: e["n"]), F.array().cast("array<bigint>"))
+    n = F.coalesce(F.col("n"), F.array().cast("array<bigint>"))
     all_words = F.greatest(F.coalesce("total", F.lit(0)), F.lit(1))
     shares = F.concat(F.transform(n, lambda k: k / all_words), F.array(F.lit(1.0) - F.aggregate(n, F.lit(0).cast("long"), lambda a, k: a + k) / all_words))
-    return out.select(F.col("m.lang").alias("lang"), classes.alias("classes"), F.coalesce(F.transform("x", lambda e: e["word"]), F.array().cast("array<string>")).alias("common"), shares.alias("shares"))
+    return mixes.join(common, "key", "left").select("key", classes.alias("classes"), shares.alias("shares"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -111,34 +134,51 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     made = ["words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_n", "class_distance", "word_distance", "kept"]
     keep = [c for c in docs.columns if c not in made]
-    rows = base_statistics(docs.select(*keep)).withColumn("class_n", class_counts(F.coalesce("text", F.lit(""))))
-    found = references(rows.select("lang", "class_n", "words"))
-    found = saved(found, "references")
-    known = [r["lang"] for r in found.select("lang").limit(100_001).collect()]
+    return judged(docs.select(*keep), keep)
+
+
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep of docs and the results of quality_rules; docs has text and lang, which need not be kept.
+
+    The texts are read twice: for the counts of words, and for all statistics, which are saved; a language's mix
+    of classes and the verdicts come from these.
+    """
+    common = saved(common_words(docs), "reference-common")
+    known = [r["key"] for r in common.select("key").limit(100_001).collect()]
     if len(known) > 100_000:
         raise ValueError("more than 100,000 languages: is lang a language column?")
+    mine = F.concat(F.lit("l"), "lang")
+    rows = base_statistics(docs.select(F.struct(*keep).alias("kept_columns"), "lang", "text")).drop("text")
     # one row a language, a few kilobytes each: their number is proven above
-    pool = found.withColumn("key", F.coalesce("lang", F.lit("\0pooled"))).drop("lang")
-    key = F.when(F.col("lang").isin([x for x in known if x is not None][:1000]), F.col("lang")) if len(known) <= 1000 else F.col("lang")
-    joined = rows.withColumn("key", F.coalesce(key, F.lit("\0pooled"))).join(F.broadcast(pool), "key", "left")
+    own = F.broadcast(common.select(F.col("key").alias("own"), F.col("common").alias("own_common")))
+    pool = F.broadcast(common.where("key = 'p'").select(F.col("common").alias("pool_common")))
+    large = F.broadcast(docs.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("count") >= LEAST_DOCS)).limit(100_001).select(F.concat(F.lit("l"), "lang").alias("large")))
+    rows = rows.join(large, mine == F.col("large"), "left").join(own, F.col("large") == F.col("own"), "left").join(pool, F.lit(True), "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("key", F.coalesce("large", F.lit("p")))
+    rows = rows.withColumn("common", F.coalesce(F.when(F.col("large").isNotNull(), F.col("own_common")).otherwise(F.col("pool_common")), none))
     size = F.size("words")
-    # the place of each word among the common ones (0: none), then how often each place occurs; the places are bound to
+    # the places of the common words among the words, then how often each place occurs; the places are bound to
     # a lambda variable, since a column that only a lambda reads is folded into it and made anew for every k
-    places = F.transform("words", lambda w: F.array_position("common", w))
-    often = lambda p: F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: (size - F.size(F.array_remove(p, k.cast("long")))).cast("double"))
+    places = F.filter(F.transform("words", lambda w: F.array_position("common", w)), lambda p: p > 0)
+    often = lambda p: F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: (F.size(p) - F.size(F.array_remove(p, k.cast("long")))).cast("double"))
     bins = F.get(F.transform(F.array(places), often), F.lit(0))
-    joined = joined.withColumn("bins", F.when(F.size("common") > 0, bins).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("bins", F.when(F.size("common") > 0, bins).otherwise(F.array().cast("array<double>")))
     rest = size - F.aggregate("bins", F.lit(0.0), lambda a, x: a + x)
-    mix = F.transform(F.concat("bins", F.array(rest)), lambda x: x / F.greatest(size, F.lit(1)))
+    rows = rows.withColumn("mix", F.transform(F.concat("bins", F.array(rest)), lambda x: x / F.greatest(size, F.lit(1))))
+    stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    measured = saved(rows.select("kept_columns", "lang", "key", "class_n", "mix", *stats, "base_failed"), "measured")
+    pool = saved(references(measured, common), "references")  # again a row a language
+    joined = measured.join(F.broadcast(pool), "key", "left")
     chars = F.aggregate("class_n", F.lit(0).cast("long"), lambda a, x: a + x)
     classes = F.transform("class_n", lambda x: x / F.greatest(chars, F.lit(1)))
     joined = joined.withColumn("class_distance", F.when(chars >= LEAST_CHARS, js_distance(classes, F.col("classes"))))
-    joined = joined.withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS, js_distance(mix, F.col("shares"))))
+    joined = joined.withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS, js_distance(F.col("mix"), F.col("shares"))))
     far = F.coalesce(F.col("class_distance") > MOST_CLASS, F.lit(False)) | F.coalesce(F.col("word_distance") > MOST_WORD, F.lit(False))
     joined = joined.withColumn("kept", ~F.col("base_failed") & ~far)
-    return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+    return joined.select(*[F.col("kept_columns").getField(c).alias(c) for c in keep], *stats, "class_distance", "word_distance", "base_failed", "kept")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    rows = quality_rules(docs.select(as_long(F.col("doc_id")).alias("doc_id"), "text", "lang"))
+    rows = judged(docs.select(as_long(F.col("doc_id")).alias("doc_id"), "text", "lang"), ["doc_id"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
