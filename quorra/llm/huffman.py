@@ -28,6 +28,8 @@ LIMIT = 18
 END = 2
 #: UTF-8 bytes of text for a file, about.
 FILE_BYTES = 12_000_000
+#: Rows of counts that a task adds up.
+FAN = 32
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -120,6 +122,24 @@ def _footer(lengths: np.ndarray, offsets: np.ndarray, doc_id: np.ndarray, known:
     return body + len(body).to_bytes(8, "little") + MAGIC
 
 
+def _added(counts: DataFrame, fan: int = FAN) -> DataFrame:
+    """counts(id array<int>, n array<long>) added up FAN rows a task, level by level, until no more than FAN are left."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for ids, n in zip(batch["id"], batch["n"], strict=True):
+                total[ids] += n
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"id": [seen.astype(np.int32)], "n": [total[seen]]})
+
+    rows = counts.count()
+    while rows > fan:
+        rows = parts(rows, fan)
+        counts = saved(counts.repartition(rows).mapInPandas(add, "id array<int>, n array<long>"), "ids-added")
+    return counts
+
+
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode docs(doc_id, text) into files below path (a shared folder); returns the files: (file, docs, ids).
 
@@ -166,10 +186,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, file_
     rows = rows.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # text: pandas makes longs with nulls doubles
     made = saved(rows.mapInPandas(tokenize, "file int, docs long, ids long, id array<int>, n array<long>"), "ids-made")
-    totals = made.select(F.explode(F.arrays_zip("id", "n")).alias("x")).groupBy("x.id").agg(F.sum("x.n").alias("n"))
     counts = np.zeros(1 << 16, dtype=np.int64)
-    for r in totals.collect():  # one row for each id that occurs: at most 65,536
-        counts[r[0]] = r[1]
+    for r in _added(made.select("id", "n")).collect():  # at most FAN rows of at most 65,536 ids
+        counts[r["id"]] += np.array(r["n"], dtype=np.int64)
     lengths = code_lengths(counts)
 
     def recode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
