@@ -14,6 +14,10 @@ To keep that off most of the corpus, the parse is first counted by hash: a trigg
 every string of its run holds) occur nowhere else has no repeated start; a run whose whole span occurs elsewhere is
 repeated throughout. Only triggers at the ends of repeated passages are left for the two orders, grouped by
 the hash of the bytes after the trigger. A group too large for a task is counted start by start instead.
+
+Passages are the same with words for bytes: windows of ``words`` words have an anchor, the smallest hash of the
+word sequences of half that length inside; runs of windows on one anchor are counted by hash, and only the windows of
+runs at the ends of repeated passages are counted one by one.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from quorra.llm.common import as_long, parts, saved
 
 LENGTH = 400
+#: The corpus stage also cuts passages of so many words (more than 50) that occur elsewhere, however few bytes they have.
+PASSAGE = 51
 #: Contexts of one group that are ordered in one task; larger groups are counted by their strings' hashes.
 CROWD = 50_000
 _GRAM = 8
@@ -220,6 +226,94 @@ def _counted(contexts: DataFrame, length: int, out: str) -> DataFrame:
     return hit.selectExpr("key", "at", "after", "at - i AS start", f"at - i + {length} AS stop")
 
 
+def word_runs(data: bytes, words: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of data, and a row (anchor, first window, last window, hash at the anchor, hash of the span) a run."""
+    found = data.split()
+    gram = words // 2 + 1
+    width, starts = words - gram + 1, len(found) - words + 1
+    if starts < 1:
+        return found, np.zeros((0, 5), dtype=np.int64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.full(len(h), odd))  # odd numbers have inverses modulo 2 ** 64, so any window is a difference
+    back = np.cumprod(np.full(len(h), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power)])
+    after = (total[gram:] - total[:-gram]) * back[: len(h) - gram + 1]
+    mixed = (after ^ (after >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed & ~_LOW) | (_LOW - np.arange(len(after), dtype=np.uint64))
+    least = np.lib.stride_tricks.sliding_window_view(mixed, width)[:starts].min(axis=1)
+    spot = (_LOW - (least & _LOW)).astype(np.int64)
+    ends = np.flatnonzero(spot[1:] != spot[:-1])
+    first, last = np.concatenate([[0], ends + 1]), np.concatenate([ends, [starts - 1]])
+    span = (total[last + words] - total[first]) * back[first]
+    return found, np.stack([spot[first], first, last, after[spot[first]].view(np.int64), span.view(np.int64)], axis=1)
+
+
+def _offsets(data: bytes) -> np.ndarray:
+    """(start, stop) of each of data.split()."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    solid = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
+    return np.flatnonzero(solid[1:] != solid[:-1]).reshape(-1, 2)
+
+
+def repeated_passages(texts: DataFrame, words: int, fixed: int) -> DataFrame:
+    """(key, at, after, start, stop) of texts(key, text): bytes of passages of ``words`` words that also start elsewhere.
+
+    Passages are equal if their words are; white space between them does not count. ``after`` is the hash of the
+    ``fixed`` bytes from ``at``, as in repeated_spans.
+    """
+    digest = xxhash.xxh3_64_intdigest
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(k, word_runs(_bytes(t), words)[1]) for k, t in zip(batch["key"], batch["text"], strict=True)]
+            rows = np.concatenate([x for _, x in made]) if made else np.zeros((0, 5), dtype=np.int64)
+            keys = np.repeat(np.array([k for k, _ in made], dtype=np.int64), [len(x) for _, x in made])
+            yield pd.DataFrame({"key": keys, **{c: rows[:, n] for n, c in enumerate(("at", "first", "last", "after", "span"))}})
+
+    parsed = saved(texts.mapInPandas(parse, "key long, at long, first long, last long, after long, span long"), "passage-parse")
+    often = parsed.groupBy("after").count().where("count > 1").select("after")
+    again = saved(parsed.join(often, "after"), "passage-again")
+    whole = again.groupBy("after", "span").agg(F.count("*").alias("n"))
+    again = saved(again.join(whole, ["after", "span"]), "passage-known")
+    edge = again.where("n = 1").select("key", "at", "first", "last", "after", F.lit("edge").alias("role"))
+    sure = again.where("n > 1").select("key", "at", "first", "last", "after", F.lit("whole").alias("role")).distinct()
+    # the other occurrence may be a run that is repeated whole: its windows are counted as well, once for equal ones
+    other = again.where("n > 1").groupBy("after", "span").agg(F.min(F.struct("key", "at", "first", "last")).alias("x")).select("x.key", "x.at", "x.first", "x.last", "after")
+    other = other.join(edge.select("after").distinct(), "after", "left_semi").select("key", "at", "first", "last", "after", F.lit("other").alias("role"))
+    lists = edge.unionByName(sure).unionByName(other).groupBy("key").agg(F.collect_list(F.struct("at", "first", "last", "after", "role")).alias("wanted"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for batch in batches:
+            rows = []
+            for key, text, asked in zip(batch["key"], batch["text"], batch["wanted"], strict=True):
+                if before == (key, text):  # copies stand together after the join
+                    continue
+                before, data = (key, text), _bytes(text)
+                found, made = word_runs(data, words)
+                mine, place = {tuple(x) for x in made[:, :4].tolist()}, _offsets(data)  # texts whose keys collide have other runs
+                for x in asked:
+                    t, first, last, after = x["at"], x["first"], x["last"], x["after"]
+                    if (t, first, last, after) not in mine:
+                        continue
+                    for a, b in [(first, last)] if x["role"] == "whole" else [(k, k) for k in range(first, last + 1)]:
+                        start, stop = int(place[a, 0]), int(place[b + words - 1, 1])
+                        body = None if x["role"] == "whole" else xxhash.xxh3_128_digest(b" ".join(found[a : a + words]))
+                        rows.append((key, start, _i64([digest(data[start : start + fixed])])[0], start, stop, x["role"], body))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["key", "at", "after", "start", "stop", "role", "hash"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["key", "at", "after", "start", "stop", "role", "hash"])
+
+    made = texts.join(lists, "key").mapInPandas(windows, "key long, at long, after long, start long, stop long, role string, hash binary")
+    made = saved(made, "passage-windows")
+    each = made.where("role != 'whole'").dropDuplicates(["key", "start", "role", "hash"])
+    twice = each.groupBy("hash").count().where("count > 1").select("hash")
+    out = ["key", "at", "after", "start", "stop"]
+    return made.where("role = 'whole'").select(*out).unionByName(each.where("role = 'edge'").join(twice, "hash", "left_semi").select(*out))
+
+
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(kept bytes, bytes removed, maximal removed runs)."""
     kept, at, removed, count, end = [], 0, 0, 0, -1
@@ -236,14 +330,15 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, count
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", crowd: int = CROWD, decode: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", crowd: int = CROWD, decode: bool = False, words: int = 0) -> DataFrame:
     """docs with columns kept_text (binary), n_bytes, n_removed, n_spans (long) in place of its text column.
 
     Texts are UTF-8 bytes; null is empty. Every byte covered by a string of ``length`` bytes that also starts
     elsewhere, in the same or any other row, is removed; strings never cross rows and are judged on the
     input. Rows with equal texts are repeats of each other and lose all of a text of length bytes or more; shorter
     texts are kept whole. Removal may split a character, so kept_text is binary; with decode it is a string without the
-    bytes of split characters. Empty table: empty result.
+    bytes of split characters. With words, passages of so many words that also start elsewhere go too, whatever
+    their length in bytes. Empty table: empty result.
     """
     if length < 16:
         raise ValueError("length must be at least 16 bytes")
@@ -252,6 +347,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", cr
     base = docs.select(row.alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     spans = repeated_spans(base.select("key", "text").where(F.octet_length("text") >= length), length, crowd)
     fixed = length - window_of(length) + 1
+    if words:
+        passages = repeated_passages(base.select("key", "text").where(F.octet_length("text") >= 2 * words - 1), words, fixed)
+        passages = passages.groupBy("key").agg(F.collect_list(F.struct("at", "after", "start", "stop")).alias("spans"))
+        spans = spans.unionByName(passages).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def apply(batches):
         import pyarrow as pa
@@ -282,12 +381,12 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def deduped_text(docs: DataFrame) -> DataFrame:
-    """docs with repeated strings cut from text; null texts stay null, n_chars (if there) follows the text."""
-    done = remove_repeats(docs.withColumn("__null", F.col("text").isNull()), decode=True)
+    """docs with repeated strings and passages cut from text; null texts stay null, n_chars (if there) follows the text."""
+    done = remove_repeats(docs.withColumn("__null", F.col("text").isNull()), decode=True, words=PASSAGE)
     done = done.withColumn("text", F.when(~F.col("__null"), F.col("kept_text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
     return done.select(*docs.columns)
 
 
-__all__ = ["cut", "deduped_text", "op2", "remove_repeats", "repeated_spans", "repeated_starts", "runs"]
+__all__ = ["cut", "deduped_text", "op2", "remove_repeats", "repeated_passages", "repeated_spans", "repeated_starts", "runs", "word_runs"]

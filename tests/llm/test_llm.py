@@ -105,6 +105,41 @@ def test_suffix_dedup(spark, texts, crowd):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_stage_cuts_passages_of_over_50_words(spark):
+    draw = random.Random(9)
+    text = lambda n: [draw.choice("abcdefghij") + str(draw.randint(0, 99)) for _ in range(n)]
+    some = [text(150) for _ in range(24)]
+    for k in range(0, 22, 2):  # passages of 49 to 59 words, at the start, inside, at the end
+        n = 49 + k // 2
+        part = text(n)
+        some[k][10:10] = part
+        some[k + 1] = [part + some[k + 1], some[k + 1] + part, some[k + 1][:70] + part + some[k + 1][70:]][k // 2 % 3]
+    some += [some[0][:100], ["a"] * 60, some[4] + ["end"], text(20) + some[23][30:85] + text(20) + some[23][60:115]]
+    bodies = [" ".join(x) if k % 3 else "\n ".join(x) for k, x in enumerate(some)]
+    bodies += [None, "", bodies[23]]
+    docs = table(spark, bodies)
+    rows = docs.collect()
+    data = [(r["text"] or "").encode() for r in rows]
+    split = [d.split() for d in data]
+    windows = collections.Counter(tuple(w[k : k + 51]) for w in split for k in range(len(w) - 50))
+    strings = collections.Counter(d[p : p + 400] for d in data for p in range(len(d) - 399))
+    want = collections.Counter()
+    for r, d, w in zip(rows, data, split, strict=True):
+        spans, at, place = [(p, p + 400) for p in range(len(d) - 399) if strings[d[p : p + 400]] > 1], 0, []
+        for x in w:
+            at = d.index(x, at)
+            place.append((at, at + len(x)))
+            at += len(x)
+        spans += [(place[k][0], place[k + 50][1]) for k in range(len(w) - 50) if windows[tuple(w[k : k + 51])] > 1]
+        gone = {p for a, b in spans for p in range(a, b)}
+        want[r["doc_id"], None if r["text"] is None else bytes(b for p, b in enumerate(d) if p not in gone).decode()] += 1
+    got = suffix_dedup.deduped_text(docs)
+    assert got.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+    assert max(len(" ".join(x[10:70])) for x in some[:22]) < 400  # none of the planted ones reaches the 400 bytes
+    assert suffix_dedup.deduped_text(table(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens(name, texts):
     w = tokens.words(tokens.public(name))
