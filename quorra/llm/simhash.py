@@ -218,6 +218,11 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     connected with the component's largest class after that is held against all its members, block by block.
     class_id is the smallest doc_id of the class. Null text equals empty text.
     """
+    return _keyed_classes(docs, shingle, similarity, radius).drop("class_key")
+
+
+def _keyed_classes(docs: DataFrame, shingle: int, similarity: float, radius: int = 3) -> DataFrame:
+    """similar_classes with class_key, which tells classes apart whatever their ids: nulls and repeats included."""
     base = docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("text_key", F.sha2("text", 256)).withColumn("node", F.xxhash64("text_key"))
     ids = saved(base.select("doc_id", "text_key"), "similar-ids")
@@ -252,9 +257,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     roots = connected_components(found, "similar-components")
     linked = nodes.join(roots, "node").select("text_key", "root", "first_id")
     low = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    linked = linked.join(low, "root").select("text_key", "class_id")
-    labels = nodes.join(linked, "text_key", "left").select("text_key", F.coalesce("class_id", "first_id").alias("class_id"))
-    return ids.join(labels, "text_key").select("doc_id", "text_key", "class_id")
+    linked = linked.join(low, "root").select("text_key", "class_id", F.col("root").cast("string").alias("class_key"))
+    labels = nodes.join(linked, "text_key", "left").select("text_key", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"))
+    return ids.join(labels, "text_key").select("doc_id", "text_key", "class_id", "class_key")
 
 
 def _similar(of_a: F.Column, of_b: F.Column, similarity: float) -> F.Column:
@@ -342,11 +347,11 @@ def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similari
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one row (that of the smallest doc_id) of each near-duplicate class; columns as given."""
-    classes = similar_classes(docs, shingle, similarity)
+    """docs without all but one row (that of the smallest doc_id, nulls last) of each near-duplicate class; columns as given."""
+    classes = _keyed_classes(docs, shingle, similarity)
     # one key for id and text: the join deals rows by it, and rows that repeat both then fall together
     key = lambda i, k: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), k)
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("text_key"))
-    chosen = chosen.select(key(F.col("class_id"), F.col("text_key")).alias("__key"))
+    chosen = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("x"))
+    chosen = chosen.select(key(F.col("x.doc_id"), F.col("x.text_key")).alias("__key"))
     keyed = docs.withColumn("__key", key(as_long(F.col("doc_id")), F.sha2(F.coalesce("text", F.lit("")), 256)))
     return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

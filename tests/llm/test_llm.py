@@ -89,6 +89,18 @@ def test_near_dedup(spark, texts):
     assert simhash.near_dedup(table(spark, [])).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_every_class(spark):
+    draw = random.Random(4)
+    text = lambda n: " ".join(draw.choice("abcdefghij") + str(draw.randint(0, 99)) for _ in range(n))
+    a, b, c, d, e, f = (text(80) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b + " tail"), (None, c), (3, c + " tail"), (2, c), (7, d), (7, e), (7, e), (9, f), (9, f + " tail"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = [{a}, {b, b + " tail"}, {c, c + " tail"}, {d}, {e}, {f, f + " tail"}, {None, ""}]
+    kept = [tuple(r) for r in simhash.near_dedup(docs).collect()]
+    assert sorted(next(k for k, x in enumerate(classes) if t in x) for _, t in kept) == list(range(len(classes)))
+    assert (2, c) in kept and set(kept) <= set(rows)
+
+
 @pytest.mark.parametrize("crowd", [50_000, 2])
 def test_suffix_dedup(spark, texts, crowd):
     base = "".join(random.Random(5).choice("abcd é ") for _ in range(3000))
