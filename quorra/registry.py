@@ -39,7 +39,7 @@ def _stats(d) -> Steps:
 
 
 def _signals(d) -> Steps:
-    return [*views.profiles(d), ("signals", "SELECT sid AS voxel, pt AS g, 100 * exp(v) AS s FROM profiles WHERE sid < 40")]
+    return [*views.profiles(d), ("signals", "SELECT sid AS voxel, pt AS g, 100 * exp(v) AS s FROM profiles")]
 
 
 def _fixed_partitions(d) -> Steps:
@@ -86,7 +86,7 @@ def _plans() -> dict[str, tuple[Callable, Callable]]:
         "tract_compare": (lines, lambda d: _pick(T.tract_compare_steps(), "pt", "diff t d")),
         "tract_clusters": (lines, lambda d: _pick([*T.tract_compare_steps(), *T.clusters_steps("compared", 1.0)], "first_pt last_pt extent", "mass peak")),
         "bundle_stability": (lines, lambda d: _pick(T.bundle_stability_steps(d, 50), "label n_lines", "stability")),
-        "resample_streamline": (lines, lambda d: _pick([("few", "SELECT * FROM {profiles} WHERE sid < 60"), *[(n, q.replace("{profiles}", "few")) for n, q in T.resample_steps(d)]], "sid k", "x y", 4)),
+        "resample_streamline": (lines, lambda d: _pick(T.resample_steps(d), "sid k", "x y", 4)),
         "dti_wild_bootstrap": (_signals, lambda d: _pick(V.wild_steps(d, 3), "r voxel c", "value", 7)),
         "csd_residual_bootstrap": (_signals, lambda d: _pick(V.residual_steps(d, 2, [1.0, 0.5, 0.1]), "r voxel c", "value", 5)),
         "plot_uncertainty": (streams, lambda d: _pick([*_stats(d), *P.uncertainty_steps(d, "edge_stats")], "", "mean_low mean_high std_low std_high cv_high mean_cv")),

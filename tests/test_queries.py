@@ -31,3 +31,11 @@ def test_nbs_and_tfnbs(spark, data):
     rows = registry.queries()["nbs_fwer"](spark, data).collect()
     assert all(0 <= r["p"] <= 1 for r in rows)
     assert registry.queries()["tfnbs"](spark, data).where("score = 0").count() == 0
+
+
+def test_voxels_and_lines_are_whole_tables(spark, data):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    got = {n: registry.queries()[n](spark, data).select(c).distinct() for n, c in (("dti_wild_bootstrap", "voxel"), ("csd_residual_bootstrap", "voxel"), ("resample_streamline", "sid"))}
+    assert all({r[0] for r in rows.collect()} == ids for rows in got.values())
+    signals = registry._views(spark, data, registry._signals(registry.Spark))["signals"]
+    assert signals.count() == len(ids) * 64  # what voxel_connectome tracks
