@@ -60,7 +60,7 @@ def _plans() -> dict[str, tuple[Callable, Callable]]:
         "build_sc": (streams, lambda d: _pick(E.build_sc_steps(), "i j w")),
         "bootstrap_edge_stats": (streams, lambda d: _pick(_stats(d), "i j", stats_cols)),
         "bootstrap_poisson": (streams, lambda d: _pick(E.edge_stats_steps(d, B, method="poisson"), "i j", stats_cols)),
-        "bootstrap_normal_ci": (streams, lambda d: _pick([(n, q.replace("FROM range(5001)", "FROM range(40)").replace("/ 5001", "/ 40")) for n, q in E.edge_stats_steps(d, 5001)], "i j", "mean ci_low ci_high")),
+        "bootstrap_normal_ci": (streams, lambda d: _pick(E.edge_stats_steps(d, E.EXACT_LIMIT + 1), "i j", "mean ci_low ci_high")),
         "classify_edges": (streams, lambda d: _pick([*_stats(d), *E.classes_steps("edge_stats")], "i j label", "p_nonzero cv")),
         "classify_prevalence": (group, lambda d: _pick([*E.prevalence_steps(), *E.classes_steps("prevalence")], "i j label", "p_nonzero cv")),
         "edge_class_counts": (group, lambda d: [*E.prevalence_steps(), *E.classes_steps("prevalence"), *E.class_counts_steps("classes", str(NODES))]),

@@ -39,3 +39,14 @@ def test_voxels_and_lines_are_whole_tables(spark, data):
     assert all({r[0] for r in rows.collect()} == ids for rows in got.values())
     signals = registry._views(spark, data, registry._signals(registry.Spark))["signals"]
     assert signals.count() == len(ids) * 64  # what voxel_connectome tracks
+
+
+def test_normal_interval_draws_all_replicates(spark, data):
+    from quorra.operators import edges
+
+    view = registry._views(spark, data, registry._plans()["bootstrap_normal_ci"][0](registry.Spark))["streamlines"]
+    want = {(r["i"], r["j"]): r for r in edges.bootstrap_edge_stats(view, edges.EXACT_LIMIT + 1, unit=100.0).collect()}
+    got = registry.queries()["bootstrap_normal_ci"](spark, data).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert all(abs(r[c] - want[r["i"], r["j"]][c]) < 1e-5 for c in ("mean", "ci_low", "ci_high"))
