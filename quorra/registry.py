@@ -48,9 +48,11 @@ def _fixed_partitions(d) -> Steps:
 
 def _plans() -> dict[str, tuple[Callable, Callable]]:
     """name -> (views of a dialect, steps of a dialect)."""
-    streams = lambda d: views.streamlines("sparse")
+    streams = lambda d: views.streamlines()
+    thinned = lambda d: views.streamlines("sparse")
     graph = lambda d: [*views.edges(), *views.partition(), *views.nodes()]
     group = lambda d: views.subject_edges()
+    tiers = lambda d: views.subject_edges("tiered")
     brain = lambda d: [*views.subject_edges(), *views.behavior()]
     lines = views.profiles
     stats_cols = "observed mean std cv ci_low ci_high median iqr p_nonzero"
@@ -61,9 +63,9 @@ def _plans() -> dict[str, tuple[Callable, Callable]]:
         "bootstrap_edge_stats": (streams, lambda d: _pick(_stats(d), "i j", stats_cols)),
         "bootstrap_poisson": (streams, lambda d: _pick(E.edge_stats_steps(d, B, method="poisson"), "i j", stats_cols)),
         "bootstrap_normal_ci": (streams, lambda d: _pick(E.edge_stats_steps(d, E.EXACT_LIMIT + 1), "i j", "mean ci_low ci_high")),
-        "classify_edges": (streams, lambda d: _pick([*_stats(d), *E.classes_steps("edge_stats")], "i j label", "p_nonzero cv")),
-        "classify_prevalence": (group, lambda d: _pick([*E.prevalence_steps(), *E.classes_steps("prevalence")], "i j label", "p_nonzero cv")),
-        "edge_class_counts": (group, lambda d: [*E.prevalence_steps(), *E.classes_steps("prevalence"), *E.class_counts_steps("classes", str(NODES))]),
+        "classify_edges": (thinned, lambda d: _pick([*_stats(d), *E.classes_steps("edge_stats")], "i j label", "p_nonzero cv")),
+        "classify_prevalence": (tiers, lambda d: _pick([*E.prevalence_steps(), *E.classes_steps("prevalence")], "i j label", "p_nonzero cv")),
+        "edge_class_counts": (tiers, lambda d: [*E.prevalence_steps(), *E.classes_steps("prevalence"), *E.class_counts_steps("classes", str(NODES))]),
         "disparity_backbone": (graph, lambda d: _pick(E.disparity_steps(0.1), "i j kept", "w")),
         "assignments_from_sc": (graph, lambda d: _pick(E.expand_steps(d, 30), "a b k", "weight", 5)),
         "node_strength": (graph, lambda d: _pick(G.strength_steps(), "node degree", "strength")),
@@ -119,8 +121,8 @@ def _query(make_views, make_steps):
 
 
 def _samples(spark: SparkSession, sf_dir: str, replicates: int = 6) -> DataFrame:
-    """(r, i, j, w) of the sparse streamlines, weights in units of a million hundredths."""
-    made = E.bootstrap_samples(_views(spark, sf_dir, views.streamlines("sparse"))["streamlines"], replicates)
+    """(r, i, j, w) of all streamlines, weights in units of a million hundredths."""
+    made = E.bootstrap_samples(_views(spark, sf_dir, views.streamlines())["streamlines"], replicates)
     return made.withColumn("w", F.col("w") / 1e6)
 
 

@@ -12,15 +12,21 @@ _SPARSE = " AND l_quantity >= 49 AND l_returnflag = 'R'"
 _TIERED = " AND ((c_nationkey + s_nationkey) % 3 = 0 OR ((c_nationkey + s_nationkey) % 3 = 1 AND l_quantity >= 45) OR ((c_nationkey + s_nationkey) % 3 = 2 AND l_quantity >= 50 AND l_returnflag = 'R'))"
 
 
-def streamlines(kind: str = "sparse") -> Steps:
-    """streamlines(sid, a, b, w): a < b, w in hundredths; equal rows are interchangeable, so sid is well defined."""
-    extra = {"dense": "", "sparse": _SPARSE, "tiered": _TIERED}[kind]
+_KINDS = {"dense": "", "sparse": _SPARSE, "tiered": _TIERED}
+
+
+def streamlines(kind: str = "dense") -> Steps:
+    """streamlines(sid, a, b, w): a < b, w in hundredths; equal rows are interchangeable, so sid is well defined.
+
+    dense is every line; sparse and tiered leave edges of all classes and serve the queries whose result is classes.
+    """
+    extra = _KINDS[kind]
     return [("streamlines", f"SELECT row_number() OVER (ORDER BY a, b, w) - 1 AS sid, a, b, w FROM ({_LINES}{extra}) q")]
 
 
 def edges() -> Steps:
     """edges(i, j, w): the observed graph, i < j, weights in units of a million hundredths."""
-    return [("edges", f"SELECT a AS i, b AS j, sum(w) / 1e6 AS w FROM ({_LINES}{_SPARSE}) q GROUP BY a, b")]
+    return [("edges", f"SELECT a AS i, b AS j, sum(w) / 1e6 AS w FROM ({_LINES}) q GROUP BY a, b")]
 
 
 def partition() -> Steps:
@@ -31,9 +37,9 @@ def nodes() -> Steps:
     return [("nodes", "SELECT n_nationkey AS node FROM {nation}")]
 
 
-def subject_edges() -> Steps:
+def subject_edges(kind: str = "dense") -> Steps:
     """subject_edges(subject, grp, i, j, w): 24 subjects in two groups; the second group's weights are 0.7 of it."""
-    return [("subject_edges", f"SELECT subject, CASE WHEN subject < 12 THEN 1 ELSE 2 END AS grp, a AS i, b AS j, sum(w) * (CASE WHEN subject < 12 THEN 10 ELSE 7 END) / 1e7 AS w FROM ({_LINES}{_TIERED}) q GROUP BY subject, a, b")]
+    return [("subject_edges", f"SELECT subject, CASE WHEN subject < 12 THEN 1 ELSE 2 END AS grp, a AS i, b AS j, sum(w) * (CASE WHEN subject < 12 THEN 10 ELSE 7 END) / 1e7 AS w FROM ({_LINES}{_KINDS[kind]}) q GROUP BY subject, a, b")]
 
 
 def behavior() -> Steps:

@@ -41,12 +41,23 @@ def test_voxels_and_lines_are_whole_tables(spark, data):
     assert signals.count() == len(ids) * 64  # what voxel_connectome tracks
 
 
-def test_normal_interval_draws_all_replicates(spark, data):
+def test_normal_interval_draws_all_replicates(spark):
     from quorra.operators import edges
+    from quorra.plans.sql import run
 
-    view = registry._views(spark, data, registry._plans()["bootstrap_normal_ci"][0](registry.Spark))["streamlines"]
-    want = {(r["i"], r["j"]): r for r in edges.bootstrap_edge_stats(view, edges.EXACT_LIMIT + 1, unit=100.0).collect()}
-    got = registry.queries()["bootstrap_normal_ci"](spark, data).collect()
-    assert len(got) == len(want)
+    small = spark.createDataFrame([(k, k % 3, 3 + k % 2, 100 + 7 * k) for k in range(40)], "sid long, a int, b int, w long")
+    want = {(r["i"], r["j"]): r for r in edges.bootstrap_edge_stats(small, edges.EXACT_LIMIT + 1, unit=100.0).collect()}
+    got = run(spark, registry._plans()["bootstrap_normal_ci"][1](registry.Spark), streamlines=small).collect()
+    assert len(got) == len(want) == 6
     for r in got:
         assert all(abs(r[c] - want[r["i"], r["j"]][c]) < 1e-5 for c in ("mean", "ci_low", "ci_high"))
+
+
+def test_graph_queries_take_every_line(spark, duck, data):
+    lines = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey"
+    total = int(duck.sql(f"SELECT sum(cast(round(l_extendedprice * 100) AS bigint)) AS w {lines}").df()["w"][0])
+    rows = registry.queries()["build_sc"](spark, data).collect()
+    assert sum(r["w"] for r in rows) == total
+    strength = registry.queries()["node_strength"](spark, data).collect()
+    assert abs(sum(r["strength"] for r in strength) - 2 * total / 1e6) < 1e-3
+    assert len(registry.queries()["edge_ttest"](spark, data).collect()) == len(rows)
