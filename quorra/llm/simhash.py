@@ -213,8 +213,10 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     A 64-bit SimHash within three bits only sees pairs that are nearly the same, so candidates come from the
     whole-text fingerprints through the pivot tables and from sampled fingerprints (SimHash of a few shingles
     that are smallest under fixed orders), and candidates are verified on the whole shingle sets. Equal texts are one
-    node. Candidates form components; within one, every pair that is not yet connected by verified links is verified,
-    so none is lost: members of a large component are first held against a few of its members in turn, and what is not
+    node. The candidates are not complete: a pair of similarity J shares no sampled fingerprint with probability
+    (1 - J ** 4) ** 16, 1 in 4,600 at J = 0.8 and 1 in 130,000 at 0.85, and is then found only by its whole-text
+    fingerprints or through a third text. Candidates form components; within one, every pair that is not yet connected
+    by verified links is verified, so none of a component's is lost: members of a large component are first held against a few of its members in turn, and what is not
     connected with the component's largest class after that is held against all its members, block by block.
     class_id is the smallest doc_id of the class. Null text equals empty text.
     """
