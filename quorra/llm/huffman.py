@@ -170,7 +170,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, file_
             schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary())])
             with pq.ParquetWriter(out, schema, compression="zstd", use_dictionary=False) as to:
                 for batch in batches:
-                    ids = [table.ids(t).tobytes() + stop for t in batch["text"]]
+                    ids = [table.raw(t) + stop for t in batch["text"]]
                     flat = np.frombuffer(b"".join(ids), dtype="<u2")
                     counts[:] += np.bincount(flat, minlength=1 << 16)
                     done[0] += len(ids)

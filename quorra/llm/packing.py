@@ -10,10 +10,7 @@ however many documents there are.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,34 +68,47 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAP
     """(doc_id, row_key, piece, start, length, ids_crc32): documents as pieces of at most capacity ids.
 
     Texts are encoded whole, ``end`` is appended; null and empty texts are that id alone. Documents of more ids are
-    cut into pieces of capacity, the first of which takes what is over.
+    cut into pieces of capacity, the first of which takes what is over. Null and repeated doc_ids pass through, each
+    row is a document of its own; columns besides doc_id and text are left out, whatever their names.
     """
     from quorra.llm import tokens
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = tokens.words(vocabulary)
-        for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
-                ids = np.append(table.ids(text), [end]).astype("<u4")
-                start = 0
-                for n in range(-(-len(ids) // capacity)):
-                    stop = start + ((len(ids) - 1) % capacity + 1 if n == 0 else capacity)
-                    rows.append((doc_id, key, n, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
-                    start = stop
-            yield pd.DataFrame(rows, columns=["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+    def run(batches):
+        import pyarrow as pa
 
-    schema = "doc_id string, row_key long, piece int, start long, length long, ids_crc32 long"
-    rows = docs.select(as_long(F.col("doc_id")).cast("string").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return rows.mapInPandas(run, schema).withColumn("doc_id", as_long(F.col("doc_id")))
+        table, stop = tokens.words(vocabulary), np.array([end], dtype="<u2").tobytes()
+        for batch in batches:
+            count, length, crc = [], [], []
+            for text in batch.column(2):
+                wide = memoryview(np.frombuffer(table.raw(text.as_py()) + stop, dtype="<u2").astype("<u4").view(np.uint8))
+                first = (len(wide) // 4 - 1) % capacity + 1
+                cuts = [0, *range(4 * first, len(wide) + 1, 4 * capacity)]
+                crc += [zlib.crc32(wide[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+                count.append(len(cuts) - 1)
+                length.append(first)
+            n = np.array(count, dtype=np.int64)
+            doc, at = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
+            piece = np.arange(len(doc)) - at[doc]
+            head = np.array(length, dtype=np.int64)[doc]
+            start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+            size = np.where(piece == 0, head, capacity)
+            rows = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+
+    schema = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
+    return docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut with sequence_id and offset: pieces of length 1 to capacity packed into few sequences without gaps.
 
     Ranks within a length follow row_key, doc_id and piece; pieces equal in these are interchangeable. A length
-    that holds most pieces is ranked slice by slice. Empty table: empty result.
+    that holds most pieces is ranked slice by slice. Columns of cut that clash with a result or a step of the plan
+    (slice, rank, ahead, sequence_id, offset) are replaced or left out; its other columns pass through. Null length:
+    an error. Empty table: empty result.
     """
+    cut = cut.drop("slice", "rank", "ahead", "sequence_id", "offset")
+    names = cut.columns
     counts = cut.groupBy("length").count().collect()  # at most capacity rows
     total = sum(r["count"] for r in counts)
     table = plan({r["length"]: r["count"] for r in counts}, capacity)
@@ -109,22 +119,23 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     per = per.select(F.col("length").alias("l"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy("length", "slice").orderBy("row_key", "doc_id", "piece"))
     ranked = sliced.withColumn("rank", rank - 1).join(per, (F.col("length") == F.col("l")) & (F.col("slice") == F.col("s")))
-    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("ahead")).cast("long")).select(*cut.columns, "rank")
+    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("ahead")).cast("long")).select(*names, "rank")
 
     order = np.lexsort((table[:, 1], table[:, 0]))
     table = table[order]
     key = table[:, 0] << 44 | table[:, 1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            rank = batch.pop("rank").to_numpy()
-            row = np.searchsorted(key, batch["length"].to_numpy() << 44 | rank, side="right") - 1
-            yield batch.assign(sequence_id=table[row, 3] + rank - table[row, 1], offset=table[row, 4])
-
-    # as text: pandas would turn longs with nulls into doubles
-    ranked = ranked.withColumn("doc_id", F.col("doc_id").cast("string"))
-    schema = ranked.drop("rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked.mapInPandas(place, schema).withColumn("doc_id", as_long(F.col("doc_id")))
+            rank, length = batch.column("rank").to_numpy(), batch.column("length").to_numpy()
+            row = np.searchsorted(key, length << 44 | rank, side="right") - 1
+            rows = [*batch.columns[:-1], pa.array(table[row, 3] + rank - table[row, 1]), pa.array(table[row, 4])]
+            yield pa.RecordBatch.from_arrays(rows, names=[*names, "sequence_id", "offset"])
+
+    schema = cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    return ranked.mapInArrow(place, schema)
 
 
 def op7(docs: DataFrame, vocabulary: str) -> DataFrame:

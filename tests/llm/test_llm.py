@@ -154,20 +154,29 @@ def test_stage_cuts_passages_of_over_50_words(spark):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens(name, texts):
-    w = tokens.words(tokens.public(name))
+    from tokenizers import Tokenizer
+
+    w, plain = tokens.words(tokens.public(name)), Tokenizer.from_file(tokens.public(name))
     odd = ["a  b", "x\n\ny", "it's we'll", "a  b", "<|endoftext|> hi", "a\tb\r\nc", "foo!!", "İstanbul ΣΑΣ", "áb é", "Foo\n Bar", "\nabc.", "3,14 abc1"]
+    odd += ["<|startoftext|>a<|endoftext|>", "x <|endoftext|> y", "\n\n\nA", " \n b", "a\n bé.", "\nÉa!!", "ſ ŉ ĸ", "a\xa0b", "e\u0301", "  ", "\n", "x  "]
+    draw = random.Random(8)
+    signs = [" ", " ", "\n", "a", "B", "é", "'s", "12", "!", "..", "İ", "Σ", "\t", "\r\n", "日本", "<|endoftext|>", "we'll", "  ", "\u2009"]
+    odd += ["".join(draw.choices(signs, k=draw.randint(0, 12))) for _ in range(5000)]
     for t in [*odd, *texts]:
-        assert w.ids(t).tolist() == (w.tokenizer.encode(t, add_special_tokens=False).ids if t else [])
+        assert w.ids(t).tolist() == (plain.encode(t, add_special_tokens=False).ids if t else [])
 
 
 def test_huffman(spark, texts):
     counts = np.bincount(np.random.default_rng(1).zipf(1.2, 5000) % 3000, minlength=3000)
     lengths = huffman.code_lengths(counts, 13)
     assert lengths.max() <= 13 and np.isclose((2.0 ** -lengths[lengths > 0].astype(float)).sum(), 1)
+    from tokenizers import Tokenizer
+
     path = tokens.public("word_bpe_49k.json")
-    w, start, want = tokens.words(path), 0, []
+    plain, start, want = Tokenizer.from_file(path), 0, []
+    texts = [*texts, "<|startoftext|> x <|endoftext|>"]
     for d in sorted(table(spark, texts).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)):
-        ids = np.append(w.ids(d["text"]), 2).astype("<u4")
+        ids = np.array([*plain.encode(d["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         want.append((d["doc_id"], len(ids), zlib.crc32(ids.tobytes())))
     rows = sorted(huffman.op3(table(spark, texts), path).collect(), key=lambda r: r["start"])
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == collections.Counter(want)
@@ -238,10 +247,30 @@ def test_packing(spark, texts):
                 at += length
             assert at <= 40
         assert len(filled) <= 1.25 * -(-sum(lengths) // 40) + 1
-    rows = packing.op7(table(spark, texts), tokens.public("byte_bpe_50k.json")).collect()
-    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
-    assert all(r["length"] == 1024 or r["piece"] == 0 for r in rows)
-    assert packing.op7(table(spark, []), tokens.public("byte_bpe_50k.json")).count() == 0
+    from tokenizers import Tokenizer
+
+    path = tokens.public("byte_bpe_50k.json")
+    plain, want = Tokenizer.from_file(path), collections.Counter()
+    docs = table(spark, [*texts, "<|endoftext|> hi"])
+    for d in docs.collect():
+        ids = np.array([*plain.encode(d["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        first = (len(ids) - 1) % 1024 + 1
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        for n, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            want[d["doc_id"], n, x, y - x, zlib.crc32(ids[x:y].tobytes())] += 1
+    rows = packing.op7(docs, path).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    filled = collections.defaultdict(list)
+    for r in rows:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for slots in filled.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(filled) <= -(-sum(r["length"] for r in rows) // 1024) + 2
+    assert packing.op7(table(spark, []), path).count() == 0
 
 
 def test_quality_rules_base(spark, texts):
