@@ -23,7 +23,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of over 50 words and the strings of 400 bytes that also start elsewhere; documents with nothing left go."""
+    """Documents without the passages of over 50 words and the strings of 400 bytes that also start elsewhere.
+
+    Documents with nothing left go; null and empty texts, and texts that lose nothing, stay as they are. Rows that repeat a
+    text lose all of it that is long enough. An empty table gives an empty one; columns besides COLUMNS are left out.
+    """
     left = suffix_dedup.deduped_text(docs)
     # cutting a passage that many documents share can leave nothing but white space
     return left.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.length("text") == 0)).select(*COLUMNS)

@@ -117,6 +117,33 @@ def test_suffix_dedup(spark, texts, crowd):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_runs_do_not_depend_on_pieces():
+    draw = random.Random(6)
+    data = "".join(draw.choice("abc ") for _ in range(5000)).encode() + b"x" * 2000 + b"xy" * 700
+    for scale in (suffix_dedup.Scale(400), suffix_dedup.Scale(51, words=True)):
+        body = scale.symbols(data.decode())
+        triggers = np.concatenate([np.full(b - a + 1, t) for t, a, b in zip(*suffix_dedup.runs(body, scale))])
+        old, suffix_dedup._PIECE = suffix_dedup._PIECE, 333
+        again = np.concatenate([np.full(b - a + 1, t) for t, a, b in zip(*suffix_dedup.runs(body, scale))])
+        suffix_dedup._PIECE = old
+        assert np.array_equal(triggers, again) and len(triggers) == scale.size(body) - scale.length + 1
+        assert (0 <= triggers - np.arange(len(triggers))).all() and (triggers - np.arange(len(triggers)) < scale.window).all()
+
+
+def test_marked_across_task_borders(spark):
+    draw = random.Random(2)
+    rows = sorted({(draw.choice([1, 2, 2, 2, 3, 4 + k]), draw.choice([1, 1, 2, k]), k) for k in range(400)})
+    old, suffix_dedup.SORTED = suffix_dedup.SORTED, 7
+    got = {r["key"]: r["kind"] for r in suffix_dedup.marked(spark.createDataFrame([(a, s, k, 0) for a, s, k in rows], "after long, span long, key long, at long"), "t").collect()}
+    suffix_dedup.SORTED = old
+    spans, afters = collections.Counter((a, s) for a, s, _ in rows), collections.Counter(a for a, _, _ in rows)
+    for a, s, k in rows:
+        want = 1 if spans[a, s] > 1 else 2 if afters[a] > 1 else 0
+        assert got.get(k, 0) & 3 == want
+    stands = {(a, s) for a, s, k in rows if got.get(k, 0) & 4}
+    assert stands == {x for x, n in spans.items() if n > 1 and afters[x[0]] > n}
+
+
 def test_stage_cuts_passages_of_over_50_words(spark):
     draw = random.Random(9)
     text = lambda n: [draw.choice("abcdefghij") + str(draw.randint(0, 99)) for _ in range(n)]
