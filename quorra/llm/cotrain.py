@@ -1,9 +1,12 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other.
 
 The text view sees mixes of character classes, pairs of classes and word statistics; the metadata view sees source,
-language and recorded length. Each is a logistic regression. In every round each view scores the unlabelled pool and
-hands its most confident documents, as pseudo-labels, to the other. Afterwards each view is calibrated
-(Platt) on labelled rows that took no part, and the two calibrated views are combined by a regression on those rows.
+language and recorded length. Each is a logistic regression, first fitted on a bounded sample of labelled rows. In every
+round each view scores all other documents and hands those that it is sure of, as pseudo-labels, to the other, which
+takes a few descent steps on the labelled sample and on all of them. The steps need sums over the documents only:
+every task adds up its own gradient, of a few hundred numbers, and the sums are exact decimals, so that the order of
+tasks leaves no trace. Afterwards each view is calibrated (Platt) on labelled rows that took no part, and the two
+calibrated views are combined by a regression on those rows.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorra.llm.common import as_long
+from quorra.llm.common import as_long, saved
 
-#: Bounds of the labelled and the unlabelled sample (rows with the smallest hashes of their ids), and their seed.
-LABELLED, POOL, SEED = 6000, 6000, 42
-ROUNDS, HANDED, SURE = 4, 150, 0.95
+#: Bound of the labelled sample (rows with the smallest hashes of their ids), and its seed.
+LABELLED, SEED = 6000, 42
+#: Rounds, descent steps in each, the probability from which a view is sure, and the weight of all pseudo-labels of a
+#: class against the labelled rows of that class.
+ROUNDS, STEPS, SURE, SHARE = 4, 3, 0.95, 0.5
 #: A document stays if its combined probability of good quality reaches this.
 KEEP = 0.5
 _CLASSES = 9
@@ -120,32 +125,51 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(np.stack([a, b], axis=1) @ self.mix[:2] + self.mix[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """Views fitted on labelled rows (those marked calibrate are kept for calibration) and a pool; None if a class is missing."""
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1)
+
+
+def pseudo_sums(x: tuple[np.ndarray, np.ndarray], teachers: tuple[View, View], students: tuple[View, View]) -> np.ndarray:
+    """For each student: gradients over the rows that the other view is sure are bad, then good, and their numbers."""
+    out = []
+    for k in (0, 1):
+        p = _sigmoid(teachers[1 - k].logit(x[1 - k]))
+        mine = _with_one((x[k] - students[k].center) / students[k].scale)
+        q = _sigmoid(mine @ students[k].weights)
+        for sure, y in ((p <= 1 - SURE, 0.0), (p >= SURE, 1.0)):
+            out += [mine[sure].T @ (q[sure] - y), [float(sure.sum())]]
+    return np.concatenate(out)
+
+
+def descended(view: View, x: np.ndarray, y: np.ndarray, sums: np.ndarray, ridge: float = 1.0) -> View:
+    """The view after a step on labelled rows and pseudo-labels; the curvature is bounded by the labelled rows' (p (1 - p) <= 1/4)."""
+    z = _with_one((x - view.center) / view.scale)
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-6
+    slope = z.T @ (_sigmoid(z @ view.weights) - y) + penalty * view.weights
+    for label, part in enumerate(np.split(sums, 2)):
+        if part[-1]:
+            slope += part[:-1] * SHARE * (y == label).sum() / part[-1]
+    curve = (1 + SHARE) * z.T @ z / 4 + np.diag(penalty)
+    return View(view.center, view.scale, view.weights - np.linalg.solve(curve, slope))
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, gathered, rounds: int = ROUNDS, steps: int = STEPS) -> Model | None:
+    """Views fitted on labelled rows (those marked calibrate are kept for calibration) and on what the other view hands over.
+
+    gathered(teachers, students) gives pseudo_sums over all rows without a label. None if a class is missing.
+    """
     fit = ~calibrate
     if min(y[fit].sum(), (1 - y[fit]).sum()) < 2 or min(y[calibrate].sum(), (1 - y[calibrate]).sum()) < 2:
         return None
     seen = (text, meta)
-    pools = (pool_text, pool_meta)
-    prior = y[fit].mean()
-    own = [dict(), dict()]  # pseudo-labels that each view was given: row of the pool -> label
-    views: list[View] = []
-    for _ in range(rounds + 1):
-        views = []
-        for x, pool, given in zip(seen, pools, own, strict=True):
-            rows = np.array(list(given), dtype=np.int64)
-            labels = np.array(list(given.values()), dtype=np.float64)
-            weight = np.concatenate([np.ones(fit.sum()), np.full(len(rows), 0.5)])
-            views.append(_view(np.concatenate([x[fit], pool[rows]]), np.concatenate([y[fit], labels]), weight))
-        for k, (view, pool) in enumerate(zip(views, pools, strict=True)):
-            if not len(pool):
-                continue
-            p = _sigmoid(view.logit(pool))
-            other = own[1 - k]
-            order = np.argsort(-p, kind="stable")
-            good = [r for r in order[: HANDED * 4].tolist() if p[r] >= SURE and r not in other][: round(HANDED * prior)]
-            bad = [r for r in order[::-1][: HANDED * 4].tolist() if p[r] <= 1 - SURE and r not in other][: HANDED - round(HANDED * prior)]
-            other.update({r: 1.0 for r in good} | {r: 0.0 for r in bad})
+    views = tuple(_view(x[fit], y[fit], np.ones(fit.sum())) for x in seen)
+    for _ in range(rounds):
+        teachers = views
+        for _ in range(steps):
+            sums = gathered(teachers, views)
+            edge = 2 * (text.shape[1] + 2)
+            views = tuple(descended(v, x[fit], y[fit], part) for v, x, part in zip(views, seen, (sums[:edge], sums[edge:]), strict=True))
     held = y[calibrate]
     logits = []
     for view, x in zip(views, seen, strict=True):
@@ -169,11 +193,16 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, "text", "source", "lang", "n_chars"])).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Fit on at most ``labelled`` labelled rows and ``pool`` unlabelled ones of docs; a fifth of the labelled calibrate.
+def _matrix(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
-    labels(doc_id, quality): null ids and qualities are skipped, repeated ids vote. None if there are too few
-    labels of either class. Only the samples, whose size is bounded, come to the driver.
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    """Fit on at most ``labelled`` labelled rows of docs, a fifth of which calibrate, and on all other rows without their labels.
+
+    labels(doc_id, quality): null ids and qualities are skipped, repeated ids vote. Of rows of docs that repeat a
+    sampled doc_id the one with the smallest features counts. None if there are too few labels of either class. Only
+    the sample, whose size is bounded, comes to the driver, and sums of a few hundred numbers.
     """
     spark = docs.sparkSession
     place = lambda c: F.xxhash64(c.cast("string"), F.lit(SEED))
@@ -181,29 +210,47 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     marked = votes.orderBy(place(F.col("doc_id")), "doc_id").limit(labelled).collect()
     if not marked:
         return None
-    ids = docs.select(as_long(F.col("doc_id")).alias("doc_id")).dropna().distinct()
-    loose = ids.join(votes, "doc_id", "left_anti").orderBy(place(F.col("doc_id")), "doc_id").limit(pool).collect()
-    wanted = [(r["doc_id"], r["y"]) for r in marked] + [(r["doc_id"], -1) for r in loose]
-    chosen = F.broadcast(spark.createDataFrame(wanted, "id long, y int"))  # at most labelled + pool rows
-    rows = docs.join(chosen, as_long(F.col("doc_id")) == F.col("id")).select("id", "y", "text", "source", "lang", "n_chars")
-    got = _featured(rows, ["id", "y"]).toPandas().sort_values("id", kind="stable").drop_duplicates("id")
-    text, meta = (np.stack(got[c].to_list()).astype(np.float64) if len(got) else np.zeros((0, 1)) for c in ("f_text", "f_meta"))
-    y = got["y"].to_numpy()
-    known = y >= 0
-    calibrate = np.array([zlib.crc32(str(k).encode()) % 5 == 0 for k in got["id"]], dtype=bool)
-    if not known.any():
+    chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["y"]) for r in marked], "id long, y int"))  # at most ``labelled`` rows
+    rows = docs.join(chosen, as_long(F.col("doc_id")) == F.col("id"), "left").select("id", "y", "text", "source", "lang", "n_chars")
+    rows = saved(_featured(rows, ["id", "y"]), "features")
+    sample = rows.where("id IS NOT NULL").groupBy("id", "y").agg(F.min(F.struct("f_text", "f_meta")).alias("f")).select("id", "y", "f.*")
+    got = sample.toPandas().sort_values("id", kind="stable")
+    if not len(got):
         return None
-    return co_train(text[known], meta[known], y[known].astype(np.float64), calibrate[known], text[~known], meta[~known])
+    text, meta = (np.stack(got[c].to_list()).astype(np.float64) for c in ("f_text", "f_meta"))
+    calibrate = np.array([zlib.crc32(str(k).encode()) % 5 == 0 for k in got["id"]], dtype=bool)
+    loose = rows.where("id IS NULL").select("f_text", "f_meta")
+
+    def gathered(teachers, students) -> np.ndarray:
+        size = 2 * (text.shape[1] + meta.shape[1] + 4)
+
+        def add(batches):
+            import pyarrow as pa
+
+            total = np.zeros(size)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 4096):
+                    part = batch.slice(k, 4096)
+                    total += pseudo_sums((_matrix(part.column(0), text.shape[1]), _matrix(part.column(1), meta.shape[1])), teachers, students)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        each = loose.mapInArrow(add, "sums array<double>").select(F.posexplode("sums").alias("k", "x"))
+        out = np.zeros(size)
+        for r in each.groupBy("k").agg(F.sum(F.col("x").cast("decimal(30,9)")).alias("x")).collect():
+            out[r["k"]] = float(r["x"])
+        return out
+
+    return co_train(text, meta, got["y"].to_numpy().astype(np.float64), calibrate, gathered)
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """docs with text_score, meta_score, score (probabilities of good quality) and kept.
 
     docs has doc_id, text, source, lang, n_chars; other columns pass through, clashing result names are replaced. Nulls
     in any of them are features of their own; a null text is an empty one. Where labels do not allow a model,
     scores are 1 and every document is kept. Empty table: empty result.
     """
-    model = train(docs, labels, labelled, pool)
+    model = train(docs, labels, labelled)
     keep = [c for c in docs.columns if c not in ("text_score", "meta_score", "score", "kept")]
 
     def run(batches):

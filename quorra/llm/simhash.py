@@ -1,13 +1,14 @@
 """SimHash near-duplicate classes through tables of distances to reference fingerprints (pivots).
 
-How links are found. Every distinct fingerprint x gets its Hamming distances to fixed reference fingerprints.
-By the triangle inequality two fingerprints at most r apart differ by at most r in each of these coordinates,
-so a pair whose largest coordinate difference exceeds r is discarded, and survivors are verified with XOR and
-bit count. The references come in families: family g holds the staircase 0, 1, 3, 7, ... within block g of the
-64 bits. The coordinates of one family differ nowhere exactly if the block is the same, and r differing bits
-cannot touch more than r blocks, so with r + k blocks at least k families have no difference at all: pairs are
-only formed inside buckets on k whole families, which is an equi-join. Loose references (random
-fingerprints) then prune within the bucket. Nothing is lost: no cap on partners, candidates or buckets.
+How links are found. Every distinct fingerprint gets a row of the pivot table: its Hamming distances to about
+ninety fixed reference fingerprints. By the triangle inequality two fingerprints at most r apart differ by at most r in
+each of these coordinates, so a pair whose largest coordinate difference exceeds r is discarded, and survivors are
+verified with XOR and bit count. The references come in families: family g holds the staircase 0, 1, 3, 7, ...
+within block g of the 64 bits, so the steps between neighbouring coordinates of a family (each +1 or -1) are the same
+for two fingerprints exactly if they agree on the block. r differing bits cannot touch more than r blocks, so with r + k
+blocks at least k families have the same steps: pairs are only formed among rows of the table that agree on the steps
+of k whole families, which is an equi-join on the table's coordinates. The other coordinates, and the loose references
+(random fingerprints), then discard within the bucket. Nothing is lost: no cap on partners, candidates or buckets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from quorra.llm.components import connected_components
 SEED = 42
 #: A bucket of more fingerprints is split into blocks of this size that are compared two by two in separate tasks.
 BLOCK = 4096
+#: Rows of the pivot table that a task compares, about.
+DEALT = 10_000
+#: Loose references, besides the families.
+LOOSE = 16
 #: Sampled fingerprints of a text in the similarity search, and shingles that each is made of.
 SAMPLES, SAMPLE_SIZE = 16, 4
 _CHUNK = 1 << 20
@@ -106,9 +111,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def pivots(count: int = 8) -> np.ndarray:
-    """Loose reference fingerprints: fixed random 64-bit numbers."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, count, dtype=np.uint64, endpoint=False)
+def references(cuts: list[int]) -> list[int]:
+    """The reference fingerprints: a staircase for each block between cuts, then LOOSE fixed random ones."""
+    stairs = [((1 << k) - 1) << low for low, high in zip(cuts, cuts[1:], strict=False) for k in range(high - low + 1)]
+    return stairs + [int(x) for x in np.random.default_rng(SEED).integers(0, 1 << 64, LOOSE, dtype=np.uint64, endpoint=False)]
+
+
+def pivot_table(distinct: DataFrame, cuts: list[int]) -> DataFrame:
+    """(fp, far): each fingerprint's Hamming distances to the references, in their order."""
+    return distinct.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(x)))).cast("byte") for x in references(cuts)]).alias("far"))
 
 
 def _blocks(rows: int, radius: int) -> list[int]:
@@ -119,17 +130,16 @@ def _blocks(rows: int, radius: int) -> list[int]:
     return [64 * k // (radius + whole) for k in range(radius + whole + 1)]
 
 
-def _within(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the links inside each group, as index pairs (row, first row of its class)."""
-    table = np.stack([np.bitwise_count(fp ^ p) for p in pivots()], axis=1).astype(np.int8)
-    order = np.lexsort((table[:, 0], group))  # inside a group ascending by the first coordinate
-    fp, group, table, label = fp[order], group[order], table[order], np.arange(len(fp))
+def _within(fp: np.ndarray, far: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the links inside each group, as index pairs (row, first row of its class); far: rows of the pivot table."""
+    order = np.lexsort((far[:, -1], group))  # inside a group ascending by the last coordinate
+    fp, group, far, label = fp[order], group[order], far[order], np.arange(len(fp))
     left = np.arange(len(fp) - 1)
     step = 1
     while len(left):
         left = left[left + step < len(fp)]
-        left = left[(group[left] == group[left + step]) & (table[left + step, 0] - table[left, 0] <= radius)]  # sorted: later rows are farther
-        near = left[np.abs(table[left] - table[left + step]).max(axis=1) <= radius] if len(left) else left
+        left = left[(group[left] == group[left + step]) & (far[left + step, -1] - far[left, -1] <= radius)]  # sorted: later rows are farther
+        near = left[np.abs(far[left] - far[left + step]).max(axis=1) <= radius] if len(left) else left
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= radius]
         label = _joined(label, near, near + step)
         step += 1
@@ -164,12 +174,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     rows = distinct.count()
     cuts = _blocks(rows, radius)
     families = len(cuts) - 1
-    masks = [sum(1 << k for k in range(cuts[g], cuts[g + 1])) for g in range(families)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(families), families - radius)):
-        mask = _signed(sum(masks[g] for g in chosen))
-        keys.append(F.struct(F.lit(n).alias("family"), F.col("fp").bitwiseAND(F.lit(mask)).alias("same")))
-    spread = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.family", "k.same")
+    table = saved(pivot_table(distinct, cuts), "simhash-pivots")
+    # family g's coordinates start at cuts[g] + g; its steps are their differences
+    steps = [F.transform(F.sequence(F.lit(low + g), F.lit(high + g - 1)), lambda k: F.get("far", k + 1) - F.get("far", k)) for g, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    keys = [F.struct(F.lit(n).alias("family"), F.xxhash64(*[steps[g] for g in chosen]).alias("same")) for n, chosen in enumerate(combinations(range(families), families - radius))]
+    spread = table.select("fp", "far", F.explode(F.array(*keys)).alias("k")).select("fp", "far", "k.family", "k.same")
     crowd = spread.groupBy("family", "same").count().where(F.col("count") > BLOCK).select("family", "same", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
     crowd = saved(crowd, "simhash-crowds")
     if crowd.isEmpty():
@@ -178,16 +187,17 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         dealt = spread.join(crowd, ["family", "same"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
         dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    slots = parts(rows * len(keys), 60_000)
+    slots = parts(rows * len(keys), DEALT)
     dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("family", "same", "lo", "hi"), F.lit(slots)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().view(np.uint64)
+        far = np.stack(pdf["far"].to_list()).astype(np.int8)
         group = pdf.groupby(["family", "same", "lo", "hi"], sort=False).ngroup().to_numpy()
-        a, b = _within(fp, group, radius)
+        a, b = _within(fp, far, group, radius)
         return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
-    return dealt.select("slot", "fp", "family", "same", "lo", "hi").groupBy("slot").applyInPandas(run, "a long, b long")
+    return dealt.select("slot", "fp", "far", "family", "same", "lo", "hi").groupBy("slot").applyInPandas(run, "a long, b long")
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -349,11 +359,19 @@ def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similari
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one row (that of the smallest doc_id, nulls last) of each near-duplicate class; columns as given."""
+    """docs without all but one row (that of the smallest doc_id, nulls last) of each near-duplicate class; columns as given.
+
+    Null and empty texts are one class. Rows that repeat both doc_id and text are one row, whichever of them it is:
+    the one whose columns are smallest as JSON text, so a rerun keeps the same. Extra columns pass through, a null
+    stays a null, and no name of theirs can clash. Empty table: empty result.
+    """
     classes = _keyed_classes(docs, shingle, similarity)
     # one key for id and text: the join deals rows by it, and rows that repeat both then fall together
     key = lambda i, k: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), k)
     chosen = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("x"))
-    chosen = chosen.select(key(F.col("x.doc_id"), F.col("x.text_key")).alias("__key"))
-    keyed = docs.withColumn("__key", key(as_long(F.col("doc_id")), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    chosen = chosen.select(key(F.col("x.doc_id"), F.col("x.text_key")).alias("wanted"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole.alias("row"), key(as_long(F.col("doc_id")), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"))
+    kept = keyed.join(chosen, F.col("key") == F.col("wanted"), "left_semi")
+    one = kept.groupBy("key").agg(F.min_by("row", F.to_json(F.col("row").dropFields("text"))).alias("row"))
+    return one.select("row.*")

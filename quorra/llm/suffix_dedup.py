@@ -41,7 +41,7 @@ PASSAGE = 51
 #: Members of one head that are ordered in one task; larger groups are halved first.
 CROWD = 50_000
 #: Rows of runs in a task of the sort, and members of all heads in a task of the second step, about.
-SORTED, ORDERED = 250_000, 20_000
+SORTED, ORDERED = 250_000, 5_000
 _GRAM = 8
 _PIECE = 1 << 22
 _LOW = np.uint64(0xFFFFFFFF)

@@ -89,6 +89,35 @@ def test_near_dedup(spark, texts):
     assert simhash.near_dedup(table(spark, [])).count() == 0
 
 
+def test_near_dedup_finds_similar_pairs(spark, data):
+    """Recall of the pairs of similarity 0.8 or more, by brute force over the documents of sf0.01 and made near copies."""
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    draw = random.Random(12)
+    made = []
+    for n in range(150):  # copies with so many changed words that the similarity lies between 0.7 and 1
+        words = [draw.choice("abcdefghij") + str(draw.randint(0, 999)) for _ in range(draw.randint(60, 400))]
+        other = list(words)
+        for k in draw.sample(range(len(words)), max(1, len(words) * draw.randint(1, 4) // 100)):
+            other[k] = "changed"
+        made += [(10**6 + 2 * n, " ".join(words)), (10**6 + 2 * n + 1, " ".join(other))]
+    both = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = {r["doc_id"]: r["class_id"] for r in simhash.similar_classes(both).collect()}
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in both.collect()}
+    holders, pairs = collections.defaultdict(list), set()
+    for i, s in sets.items():
+        seen = collections.Counter(j for x in s for j in holders[x])
+        pairs |= {(j, i) for j, n in seen.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)}
+        for x in s:
+            holders[x].append(i)
+    assert len(pairs) > 150 and sum(rows[a] == rows[b] for a, b in pairs) >= 0.99 * len(pairs)
+    # and nothing else: classes are the components of these pairs, and of texts without words
+    label = {i: i for i in sets}
+    for a, b in sorted(pairs):
+        label = {k: label[a] if v == label[b] else v for k, v in label.items()} if label[a] != label[b] else label
+    none = min((i for i, s in sets.items() if not s), default=None)
+    assert sum(rows[i] != label[i] for i, s in sets.items() if s) <= 0.01 * len(sets) and (none is None or rows[none] == none)
+
+
 def test_near_dedup_keeps_one_row_of_every_class(spark):
     draw = random.Random(4)
     text = lambda n: " ".join(draw.choice("abcdefghij") + str(draw.randint(0, 99)) for _ in range(n))
