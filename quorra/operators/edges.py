@@ -47,26 +47,29 @@ def bootstrap_steps(dialect, replicates: int, seed: int = 42, method: str = "mul
     ]
 
 
-def edge_stats_steps(dialect, replicates: int, ci: float = 0.95, unit: float = 100.0, seed: int = 42, method: str = "multinomial") -> Steps:
-    """edge_stats: absent edges count as zero in every replicate (the observed edges are the candidates)."""
+def edge_stats_steps(dialect, replicates: int, ci: float = 0.95, unit: float = 100.0, seed: int = 42, method: str = "multinomial", interval: str = "auto") -> Steps:
+    """edge_stats: absent edges count as zero in every replicate (the observed edges are the candidates).
+
+    interval: percentile, normal, or auto (normal above EXACT_LIMIT replicates).
+    """
     low, high = (1 - ci) / 2, (1 + ci) / 2
-    if replicates > EXACT_LIMIT:
+    if interval == "normal" or (interval == "auto" and replicates > EXACT_LIMIT):
         z = NormalDist().inv_cdf(high)
         bounds = f"greatest(avg(w) - {z!r} * stddev_pop(w), 0.0) AS ci_low, avg(w) + {z!r} * stddev_pop(w) AS ci_high"
     else:
         bounds = f"{dialect.quantile('w', low)} AS ci_low, {dialect.quantile('w', high)} AS ci_high"
     return [
         *bootstrap_steps(dialect, replicates, seed, method),
-        ("observed", f"SELECT least(a, b) AS i, greatest(a, b) AS j, sum(w) / {unit} AS observed FROM {{streamlines}} WHERE a <> b GROUP BY least(a, b), greatest(a, b)"),
-        ("dense", f"SELECT o.i, o.j, o.observed, coalesce(e.w, 0) / {unit} AS w FROM observed o CROSS JOIN {dialect.series(replicates, 'r')} x LEFT JOIN edge_samples e ON e.r = x.r AND e.i = o.i AND e.j = o.j"),
+        ("observed", f"SELECT least(a, b) AS i, greatest(a, b) AS j, sum(w) / cast({unit} AS double) AS observed FROM {{streamlines}} WHERE a <> b GROUP BY least(a, b), greatest(a, b)"),
+        ("dense", f"SELECT o.i, o.j, o.observed, coalesce(e.w, 0) / cast({unit} AS double) AS w FROM observed o CROSS JOIN {dialect.series(replicates, 'r')} x LEFT JOIN edge_samples e ON e.r = x.r AND e.i = o.i AND e.j = o.j"),
         ("raw", f"SELECT i, j, max(observed) AS observed, avg(w) AS mean, stddev_pop(w) AS std, {bounds}, {dialect.quantile('w', 0.5)} AS median, {dialect.quantile('w', 0.75)} - {dialect.quantile('w', 0.25)} AS iqr, cast(sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS double) / {replicates} AS p_nonzero FROM dense GROUP BY i, j"),
         ("edge_stats", "SELECT i, j, observed, mean, std, CASE WHEN mean > 0 THEN std / mean ELSE 0.0 END AS cv, ci_low, ci_high, median, iqr, p_nonzero FROM raw"),
     ]
 
 
-def bootstrap_edge_stats(streamlines: DataFrame, n_bootstrap: int = 1000, ci_level: float = 0.95, seed: int = 42, method: str = "multinomial", unit: float = 1.0) -> DataFrame:
+def bootstrap_edge_stats(streamlines: DataFrame, n_bootstrap: int = 1000, ci_level: float = 0.95, seed: int = 42, method: str = "multinomial", unit: float = 1.0, interval: str = "auto") -> DataFrame:
     """One row an observed edge: observed, mean, std (population), cv, percentile interval, median, iqr, p_nonzero."""
-    return run(streamlines.sparkSession, edge_stats_steps(Spark, n_bootstrap, ci_level, unit, seed, method), streamlines=streamlines)
+    return run(streamlines.sparkSession, edge_stats_steps(Spark, n_bootstrap, ci_level, unit, seed, method, interval), streamlines=streamlines)
 
 
 def bootstrap_samples(streamlines: DataFrame, n_bootstrap: int, seed: int = 42, method: str = "multinomial") -> DataFrame:
@@ -110,6 +113,34 @@ def disparity_filter(edges: DataFrame, alpha: float = 0.05) -> DataFrame:
     return run(edges.sparkSession, disparity_steps(alpha), edges=edges)
 
 
+def disparity_summary_steps(alpha: float = 0.05) -> Steps:
+    """(n_retained, n_total, weight_retained): what the backbone keeps; 0 of no weight."""
+    return [*disparity_steps(alpha), ("out", "SELECT cast(sum(kept) AS bigint) AS n_retained, count(*) AS n_total, CASE WHEN sum(w) > 0 THEN sum(w * kept) / sum(w) ELSE 0.0 END AS weight_retained FROM backbone")]
+
+
+def disparity_summary(edges: DataFrame, alpha: float = 0.05) -> DataFrame:
+    return run(edges.sparkSession, disparity_summary_steps(alpha), edges=edges)
+
+
+def parametric_steps(dialect, replicates: int, seed: int = 42, table: str = "{edge_stats}") -> Steps:
+    """(r, i, j, w) from edge statistics: max(0, mean + std * (z1 + z2) / 2) with two normal draws (Box and Muller) for each edge and replicate."""
+    u, v = (f"(({dialect.hashed(seed + k, 'r', 'i', 'j')} + 0.5) / 4294967296.0)" for k in (0, 1))
+    return [
+        ("uniform", f"SELECT r, i, j, mean, std, {u} AS u, {v} AS v FROM {table} CROSS JOIN {dialect.series(replicates, 'r')} x"),
+        ("out", f"SELECT r, i, j, greatest(0.0, mean + std * sqrt(-2 * ln(u)) * (cos({6.283185307179586!r} * v) + sin({6.283185307179586!r} * v)) / 2) AS w FROM uniform"),
+    ]
+
+
+def parametric_samples(edge_stats: DataFrame, n_samples: int, seed: int = 42) -> DataFrame:
+    """Samples for results that kept none; the two normals are averaged, as for a matrix made symmetric."""
+    return run(edge_stats.sparkSession, parametric_steps(Spark, n_samples, seed), edge_stats=edge_stats)
+
+
+def samples_of(edge_stats: DataFrame, n_samples: int, stored: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """The first n_samples stored replicates if there are any, parametric ones otherwise."""
+    return stored.where(f"r < {int(n_samples)}") if stored is not None else parametric_samples(edge_stats, n_samples, seed)
+
+
 def expand_steps(dialect, factor: int = 100, seed: int = 42) -> Steps:
     u = f"(({dialect.hashed(seed, 'i', 'j', 'k')} + 0.5) / 4294967296.0)"
     return [

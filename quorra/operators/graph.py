@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from quorra.plans.sql import Steps, run
+from quorra.plans.sql import Spark, Steps, run
 
 ENDS = ("ends", "SELECT i AS node, j AS other, w FROM {edges} WHERE w > 0 UNION ALL SELECT j AS node, i AS other, w FROM {edges} WHERE w > 0")
 
@@ -110,3 +110,12 @@ within_module_z = _api(within_z_steps)
 
 def coassignment(partitions: DataFrame) -> DataFrame:
     return run(partitions.sparkSession, coassignment_steps(), partitions=partitions)
+
+
+def hub_classes(edges: DataFrame, nodes: DataFrame, partition: DataFrame, percentile: float = 80.0) -> DataFrame:
+    return run(edges.sparkSession, hub_steps(Spark, percentile), edges=edges, nodes=nodes, partition=partition)
+
+
+def rich_club(edges: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """(k, n_rich, phi) for degrees 0 to levels - 1."""
+    return run(edges.sparkSession, rich_club_steps(Spark, levels), edges=edges, nodes=nodes)

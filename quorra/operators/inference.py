@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame
 from quorra.plans.sql import Spark, Steps, run
 
 
-def ttest_steps(table: str = "{subject_edges}") -> Steps:
-    """Welch t per edge, group 1 minus group 2; subjects without the edge count as zero."""
+def ttest_steps(table: str = "{subject_edges}", key: str = "") -> Steps:
+    """Welch t per edge, group 1 minus group 2; subjects without the edge count as zero. key: a column that tells tests apart."""
+    k = f"{key}, " if key else ""
     return [
         ("sizes", f"SELECT cast(count(DISTINCT CASE WHEN grp = 1 THEN subject END) AS double) AS n1, cast(count(DISTINCT CASE WHEN grp = 2 THEN subject END) AS double) AS n2 FROM {table}"),
-        ("moments", f"SELECT i, j, sum(CASE WHEN grp = 1 THEN w ELSE 0.0 END) AS s1, sum(CASE WHEN grp = 2 THEN w ELSE 0.0 END) AS s2, sum(CASE WHEN grp = 1 THEN w * w ELSE 0.0 END) AS q1, sum(CASE WHEN grp = 2 THEN w * w ELSE 0.0 END) AS q2 FROM {table} GROUP BY i, j"),
-        ("errors", "SELECT i, j, s1 / n1 AS m1, s2 / n2 AS m2, greatest(q1 - s1 * s1 / n1, 0.0) / (n1 - 1) / n1 + greatest(q2 - s2 * s2 / n2, 0.0) / (n2 - 1) / n2 AS v FROM moments CROSS JOIN sizes"),
-        ("ttest", "SELECT i, j, m1 - m2 AS diff, CASE WHEN v > 1e-18 THEN (m1 - m2) / sqrt(v) ELSE 0.0 END AS t FROM errors"),
+        ("moments", f"SELECT {k}i, j, sum(CASE WHEN grp = 1 THEN w ELSE 0.0 END) AS s1, sum(CASE WHEN grp = 2 THEN w ELSE 0.0 END) AS s2, sum(CASE WHEN grp = 1 THEN w * w ELSE 0.0 END) AS q1, sum(CASE WHEN grp = 2 THEN w * w ELSE 0.0 END) AS q2 FROM {table} GROUP BY {k}i, j"),
+        ("errors", f"SELECT {k}i, j, s1 / n1 AS m1, s2 / n2 AS m2, greatest(q1 - s1 * s1 / n1, 0.0) / (n1 - 1) / n1 + greatest(q2 - s2 * s2 / n2, 0.0) / (n2 - 1) / n2 AS v FROM moments CROSS JOIN sizes"),
+        ("ttest", f"SELECT {k}i, j, m1 - m2 AS diff, CASE WHEN v > 1e-18 THEN (m1 - m2) / sqrt(v) ELSE 0.0 END AS t FROM errors"),
     ]
 
 
@@ -21,6 +22,41 @@ def edge_ttest(subject_edges: DataFrame) -> DataFrame:
     return run(subject_edges.sparkSession, ttest_steps(), subject_edges=subject_edges)
 
 
+def subject_samples_steps(dialect, replicates: int, seed: int = 42) -> Steps:
+    """subject_samples(subject, grp, r, i, j, w): Poisson resamples of each subject's {subject_lines}(sid, subject, grp, a, b, w)."""
+    u = f"(({dialect.hashed(seed, 'r', 'sid')} + 0.5) / 4294967296.0)"
+    total, term, count = 0.0, 0.36787944117144233, []
+    for k in range(13):
+        total += term
+        count.append(f"(CASE WHEN u > {total!r} THEN 1 ELSE 0 END)")
+        term /= k + 1
+    return [
+        ("picked", f"SELECT r, subject, grp, a, b, w, {u} AS u FROM {{subject_lines}} CROSS JOIN {dialect.series(replicates, 'r')} x WHERE a <> b"),
+        ("subject_samples", f"SELECT subject, grp, r, least(a, b) AS i, greatest(a, b) AS j, sum(w * ({' + '.join(count)})) / 1e6 AS w FROM picked GROUP BY subject, grp, r, least(a, b), greatest(a, b)"),
+    ]
+
+
+def nbs_stability_steps(dialect, replicates: int, threshold: float, rounds: int = 100, tail: str = "both", seed: int = 42, table: str = "{subject_samples}") -> Steps:
+    """(i, j, freq): share of rounds in which an edge lies in a supra-threshold component; a round takes one sample of each subject.
+
+    The table has replicates 0 to replicates - 1 for every subject. An edge beyond the threshold is always in
+    a component, so that the components themselves need not be found.
+    """
+    beyond = {"both": f"abs(t) > {threshold}", "left": f"t < -{threshold}", "right": f"t > {threshold}"}[tail]
+    return [
+        ("members", f"SELECT DISTINCT subject FROM {table}"),
+        ("chosen", f"SELECT round, subject, {dialect.hashed(seed, 'round', 'subject')} % {replicates} AS r FROM members CROSS JOIN {dialect.series(rounds, 'round')} x"),
+        ("drawn", f"SELECT c.round, s.subject, grp, i, j, w FROM chosen c JOIN {table} s ON s.subject = c.subject AND s.r = c.r"),
+        *ttest_steps("drawn", "round"),
+        ("out", f"SELECT i, j, cast(sum(CASE WHEN {beyond} THEN 1 ELSE 0 END) AS double) / {rounds} AS freq FROM (SELECT i, j, round(t, 9) AS t FROM ttest) q GROUP BY i, j"),
+    ]
+
+
+def nbs_stability(subject_samples: DataFrame, replicates: int, threshold: float = 3.0, rounds: int = 100, tail: str = "both", seed: int = 42) -> DataFrame:
+    """rounds is cut to the smaller group's size, which callers pass."""
+    return run(subject_samples.sparkSession, nbs_stability_steps(Spark, replicates, threshold, rounds, tail, seed), subject_samples=subject_samples)
+
+
 def permuted_steps(dialect, permutations: int, seed: int = 42) -> Steps:
     """perms(perm, subject, g): perm 0 is the true grouping; others relabel subjects in order of a hash."""
     return [
@@ -49,25 +85,43 @@ def permutation_edges_steps(dialect, permutations: int, correction: str = "fdr",
         *permuted_diffs_steps(dialect, permutations, seed),
         ("p_values", f"SELECT a.i, a.j, max(a.d) AS diff, cast(sum(CASE WHEN abs(b.d) >= abs(a.d) THEN 1 ELSE 0 END) AS double) / {permutations} AS p FROM diffs a JOIN diffs b ON a.i = b.i AND a.j = b.j AND b.perm > 0 WHERE a.perm = 0 GROUP BY a.i, a.j"),
         ("ordered", "SELECT *, row_number() OVER (ORDER BY p, i, j) AS rk FROM p_values"),
-        ("out", f"SELECT i, j, diff, p, {corrected} AS p_corrected FROM ordered"),
+        ("spread", "SELECT i, j, greatest(sum(CASE WHEN grp = 1 THEN w * w ELSE 0.0 END) - sum(CASE WHEN grp = 1 THEN w ELSE 0.0 END) * sum(CASE WHEN grp = 1 THEN w ELSE 0.0 END) / max(n1), 0.0) + greatest(sum(CASE WHEN grp = 2 THEN w * w ELSE 0.0 END) - sum(CASE WHEN grp = 2 THEN w ELSE 0.0 END) * sum(CASE WHEN grp = 2 THEN w ELSE 0.0 END) / max(n2), 0.0) AS ss, max(n1) + max(n2) - 2 AS v FROM {subject_edges} CROSS JOIN first GROUP BY i, j"),
+        ("out", f"SELECT o.i, o.j, diff, p, {corrected} AS p_corrected, CASE WHEN ss > 1e-18 THEN diff / sqrt(ss / v) ELSE 0.0 END AS d FROM ordered o JOIN spread s ON s.i = o.i AND s.j = o.j"),
     ]
 
 
 def permutation_test_edges(subject_edges: DataFrame, n_permutations: int = 10000, correction: str = "fdr", seed: int = 42, n_nodes: int = 25) -> DataFrame:
-    """(i, j, diff, p, p_corrected); absent edges have p 1 and stand last in the correction over all pairs."""
+    """(i, j, diff, p, p_corrected, d); absent edges have p 1 and stand last in the correction over all pairs. d is Cohen's."""
     return run(subject_edges.sparkSession, permutation_edges_steps(Spark, n_permutations, correction, seed, n_nodes), subject_edges=subject_edges)
 
 
-def permutation_global_steps(dialect, permutations: int, seed: int = 42) -> Steps:
-    """The metric (total weight) is computed once a subject; only scalars are permuted."""
+def total_weight_steps() -> Steps:
+    return [("metric", "SELECT subject, round(sum(w), 6) AS x FROM {subject_edges} GROUP BY subject")]
+
+
+def permutation_global_steps(dialect, permutations: int, seed: int = 42, metric: Steps | None = None) -> Steps:
+    """(diff, p, d) of any scalar of a subject: metric's last step gives metric(subject, x). It is computed once a subject; scalars are permuted."""
     return [
         *permuted_steps(dialect, permutations, seed),
-        ("metric", "SELECT subject, round(sum(w), 6) AS x FROM {subject_edges} GROUP BY subject"),
-        ("diffs", "SELECT perm, round(avg(CASE WHEN g = 1 THEN x END) - avg(CASE WHEN g = 2 THEN x END), 8) AS d FROM perms JOIN metric m ON m.subject = perms.subject GROUP BY perm"),
-        ("out", f"SELECT a.d AS diff, cast(sum(CASE WHEN abs(b.d) >= abs(a.d) THEN 1 ELSE 0 END) AS double) / {permutations} AS p FROM diffs a JOIN diffs b ON b.perm > 0 WHERE a.perm = 0 GROUP BY a.d"),
+        *(metric if metric is not None else total_weight_steps()),
+        ("diffs", "SELECT perm, round(avg(CASE WHEN g = 1 THEN x END) - avg(CASE WHEN g = 2 THEN x END), 8) AS delta FROM perms JOIN metric m ON m.subject = perms.subject GROUP BY perm"),
+        ("pooled", "SELECT sqrt((var_pop(CASE WHEN g = 1 THEN x END) * count(CASE WHEN g = 1 THEN 1 END) + var_pop(CASE WHEN g = 2 THEN x END) * count(CASE WHEN g = 2 THEN 1 END)) / (count(*) - 2)) AS sd FROM perms JOIN metric m ON m.subject = perms.subject WHERE perm = 0"),
+        ("out", f"SELECT a.delta AS diff, cast(sum(CASE WHEN abs(b.delta) >= abs(a.delta) THEN 1 ELSE 0 END) AS double) / {permutations} AS p, CASE WHEN max(sd) > 0 THEN a.delta / max(sd) ELSE 0.0 END AS d FROM diffs a JOIN diffs b ON b.perm > 0 CROSS JOIN pooled WHERE a.perm = 0 GROUP BY a.delta"),
     ]
 
 
+def permutation_test_global(subject_edges: DataFrame, metric: DataFrame | None = None, n_permutations: int = 5000, seed: int = 42) -> DataFrame:
+    """metric(subject, x) is the caller's scalar of each subject; without it, the total weight."""
+    own = [("metric", "SELECT subject, x FROM {scalars}")] if metric is not None else None
+    more = {"scalars": metric} if metric is not None else {}
+    return run(subject_edges.sparkSession, permutation_global_steps(Spark, n_permutations, seed, own), subject_edges=subject_edges, **more)
+
+
+def permutation_null_steps(dialect, permutations: int, seed: int = 42) -> Steps:
+    """(perm, delta): the null distribution itself."""
+    return [*permutation_global_steps(dialect, permutations, seed)[:-2], ("out", "SELECT perm, delta FROM diffs WHERE perm > 0")]
+
+
 def cpm_steps(dialect, bootstraps: int, r_cut: float, seed: int = 42) -> Steps:
     """Predictions of all subjects from bagged models: edges with |r| above the critical value, summed by sign, one line."""
     return [
@@ -86,6 +140,36 @@ def cpm_steps(dialect, bootstraps: int, r_cut: float, seed: int = 42) -> Steps:
     ]
 
 
+def cpm_summary_steps(dialect, bootstraps: int, r_cut: float, seed: int = 42) -> Steps:
+    """(r, n, edges_positive, edges_negative): correlation of bagged predictions with the truth, mean numbers of edges, cut to whole ones."""
+    steps = cpm_steps(dialect, bootstraps, r_cut, seed)
+    return [
+        *steps[:-1],
+        ("predictions", steps[-1][1]),
+        ("kept", f"SELECT r, sum(CASE WHEN c > {r_cut!r} THEN 1 ELSE 0 END) AS up, sum(CASE WHEN c < -{r_cut!r} THEN 1 ELSE 0 END) AS down FROM cors GROUP BY r"),
+        ("edges_kept", "SELECT cast(floor(avg(up)) AS bigint) AS edges_positive, cast(floor(avg(down)) AS bigint) AS edges_negative FROM kept"),
+        ("out", "SELECT corr(predicted, actual) AS r, count(*) AS n, max(edges_positive) AS edges_positive, max(edges_negative) AS edges_negative FROM predictions CROSS JOIN edges_kept"),
+    ]
+
+
+def predictive_model(subject_edges: DataFrame, behavior: DataFrame, n_bootstrap: int = 200, edge_threshold: float = 0.01, seed: int = 42) -> DataFrame:
+    """(subject, actual, predicted, ci_low, ci_high); the cut-off correlation follows from the number of subjects, which is counted."""
+    from quorra.functions.special import critical_r
+
+    cut = critical_r(behavior.count(), edge_threshold)
+    return run(subject_edges.sparkSession, cpm_steps(Spark, n_bootstrap, cut, seed), subject_edges=subject_edges, behavior=behavior)
+
+
+def predictive_model_summary(subject_edges: DataFrame, behavior: DataFrame, n_bootstrap: int = 200, edge_threshold: float = 0.01, seed: int = 42) -> dict:
+    """r and its p-value (0 and 1 with two subjects or fewer), mean numbers of edges."""
+    from quorra.functions.special import critical_r, pearson_p_value
+
+    cut = critical_r(behavior.count(), edge_threshold)
+    row = run(subject_edges.sparkSession, cpm_summary_steps(Spark, n_bootstrap, cut, seed), subject_edges=subject_edges, behavior=behavior).first()
+    enough = row["n"] > 2 and row["r"] is not None
+    return {"r": row["r"] if enough else 0.0, "p": pearson_p_value(row["r"], row["n"]) if enough else 1.0, "edges_positive": row["edges_positive"], "edges_negative": row["edges_negative"]}
+
+
 def pls_single_steps() -> Steps:
     """PLS with one behaviour: the singular vector is the normalized covariance, closed form."""
     return [
@@ -94,3 +178,23 @@ def pls_single_steps() -> Steps:
         ("norm", "SELECT sqrt(sum(c * c)) AS s FROM cov"),
         ("out", "SELECT i, j, c / s AS weight, s AS singular_value FROM cov CROSS JOIN norm"),
     ]
+
+
+def pls_single(subject_edges: DataFrame, behavior: DataFrame) -> DataFrame:
+    return run(subject_edges.sparkSession, pls_single_steps(), subject_edges=subject_edges, behavior=behavior)
+
+
+def pls_scores_steps() -> Steps:
+    """(subject, brain, behaviour): scores of the first latent variable with one behaviour."""
+    return [
+        *pls_single_steps()[:-1],
+        ("weights", "SELECT i, j, c / s AS weight FROM cov CROSS JOIN norm"),
+        ("means", "SELECT e.i, e.j, sum(w) / max(n) AS m FROM {subject_edges} e CROSS JOIN centre GROUP BY e.i, e.j"),
+        ("shift", "SELECT sum(weight * m) AS base FROM weights JOIN means ON means.i = weights.i AND means.j = weights.j"),
+        ("raw", "SELECT e.subject, sum(weight * w) AS x FROM {subject_edges} e JOIN weights g ON g.i = e.i AND g.j = e.j GROUP BY e.subject"),
+        ("out", "SELECT b.subject, coalesce(x, 0.0) - base AS brain, value - my AS behaviour FROM {behavior} b LEFT JOIN raw ON raw.subject = b.subject CROSS JOIN shift CROSS JOIN centre"),
+    ]
+
+
+def pls_scores(subject_edges: DataFrame, behavior: DataFrame) -> DataFrame:
+    return run(subject_edges.sparkSession, pls_scores_steps(), subject_edges=subject_edges, behavior=behavior)

@@ -71,6 +71,12 @@ def clustering(weights: np.ndarray) -> float:
     return float((walks[some] / (k[some] * (k[some] - 1))).mean()) if some.any() else 0.0
 
 
+def transitivity(weights: np.ndarray) -> float:
+    k, root = (weights > 0).sum(axis=1), np.cbrt(weights)
+    triples = float((k * (k - 1)).sum())
+    return float(np.einsum("ij,jk,ki->", root, root, root)) / triples if triples else 0.0
+
+
 def louvain(weights: np.ndarray, resolution: float = 1.0, seed: int = 42, sweeps: int = 50) -> np.ndarray:
     """Local moving in random node order until a sweep moves nothing; labels from 0; ties go to the lowest label.
 
@@ -154,12 +160,12 @@ def betweenness(weights: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
         paths[s, s] = 1
         for v in np.argsort(far[s], kind="stable"):
             if v != s and np.isfinite(far[s, v]):
-                last = np.abs(far[s] + direct[:, v] - far[s, v]) < tolerance
+                last = np.abs(far[s] + direct[:, v] - far[s, v]) < tolerance  # an infinite sum is never near
                 paths[s, v] = paths[s, last].sum()
     out = np.zeros(n)
     for v in range(n):
-        on = np.abs(far[:, v][:, None] + far[v][None, :] - far) < tolerance
-        on &= np.isfinite(far)
+        on = np.isfinite(far)
+        on[on] = np.abs((far[:, v][:, None] + far[v][None, :])[on] - far[on]) < tolerance
         on[v, :] = on[:, v] = False
         np.fill_diagonal(on, False)
         through = np.outer(paths[:, v], paths[v])
@@ -240,6 +246,8 @@ def global_metrics(samples: DataFrame, nodes: int, compat: bool = False, seed: i
         yield "strength_std", float(m.sum(axis=1).std())
         yield "global_efficiency", efficiency(m, compat)
         yield "clustering", clustering(m)
+        yield "transitivity", transitivity(m)
+        yield "local_efficiency", float(local_efficiency(m, compat).mean())
         yield "path_length", path_length(m)
         yield "modularity", modularity(m, louvain(m, seed=seed + r))
 
@@ -293,13 +301,30 @@ def communicability_cells(samples: DataFrame, nodes: int, normalize: bool = True
     return _grouped(samples, "r", "i int, j int, value double", kernel)
 
 
+def communicability_nodes(cells: DataFrame) -> DataFrame:
+    """(node, mean, std, ci_low, ci_high, subgraph_mean, subgraph_std) of communicability_cells: row sums with the diagonal, and the diagonal."""
+    ends = cells.select("r", F.col("i").alias("node"), "value", (F.col("i") == F.col("j")).alias("own")).unionByName(cells.where("i != j").select("r", F.col("j").alias("node"), "value", F.lit(False).alias("own")))
+    rows = ends.groupBy("r", "node").agg(F.sum("value").alias("value"), F.sum(F.when(F.col("own"), F.col("value"))).alias("own"))
+    subgraph = rows.groupBy("node").agg(F.avg("own").alias("subgraph_mean"), F.stddev_pop("own").alias("subgraph_std"))
+    return metric_summary(rows, ["node"]).join(subgraph, "node")
+
+
 def small_world_propensity(samples: DataFrame, nodes: int, n_random: int = 20, n_lattice: int = 20, seed: int = 42) -> DataFrame:
+    """(r, phi, clustering, path_length, delta_c, delta_l): a row a replicate."""
+
     def kernel(r, pdf):
         yield small_world(matrix(pdf, nodes), rng("small-world", seed, r), n_random, n_lattice)
 
     return _grouped(samples, "r", "phi double, clustering double, path_length double, delta_c double, delta_l double", kernel)
 
 
+def small_world_summary(values: DataFrame) -> DataFrame:
+    """(metric, mean, std, ci_low, ci_high) over the replicates of small_world_propensity."""
+    names = [c for c in values.columns if c != "r"]
+    pairs = ", ".join(f"'{c}', {c}" for c in names)
+    return metric_summary(values.selectExpr(f"stack({len(names)}, {pairs}) AS (metric, value)"), ["metric"])
+
+
 def rewired(samples: DataFrame, nodes: int, n_random: int = 1, per_edge: int = 10, seed: int = 42) -> DataFrame:
     """(r, null_id, i, j, w): rewired copies of each replicate's graph."""
 
@@ -311,25 +336,102 @@ def rewired(samples: DataFrame, nodes: int, n_random: int = 1, per_edge: int = 1
     return _grouped(samples, "r", "null_id int, i int, j int, w double", kernel)
 
 
-def rich_club_normalized(samples: DataFrame, nodes: int, n_random: int = 20, seed: int = 42) -> DataFrame:
-    """(r, k, phi, phi_norm): mean weight among nodes of degree above k, over that of rewired graphs (made once a replicate)."""
+def degree_range(samples: DataFrame, nodes: int) -> tuple[int, int]:
+    """From the 10th percentile of the positive degrees to the 90th of all, whole numbers, of the mean graph (edges of any replicate)."""
+    edges = samples.where("w > 0").select("i", "j").distinct()
+    ends = edges.select(F.col("i").alias("node")).unionByName(edges.select(F.col("j").alias("node"))).groupBy("node").agg(F.count("*").alias("k"))
+    degree = np.zeros(nodes)
+    for r in ends.collect():  # a row a node
+        degree[r["node"]] = r["k"]
+    return (int(np.percentile(degree[degree > 0], 10)), int(np.percentile(degree, 90))) if degree.any() else (0, -1)
+
 
-    def phi(m: np.ndarray, k: int) -> float:
-        rich = np.flatnonzero((m > 0).sum(axis=1) > k)
-        return float(np.triu(m[np.ix_(rich, rich)], 1).sum() / (len(rich) * (len(rich) - 1) / 2)) if len(rich) >= 2 else 0.0
+def _phi(m: np.ndarray, k: int) -> float:
+    rich = np.flatnonzero((m > 0).sum(axis=1) > k)
+    return float(np.triu(m[np.ix_(rich, rich)], 1).sum() / (len(rich) * (len(rich) - 1) / 2)) if len(rich) >= 2 else 0.0
+
+
+def rich_club_normalized(samples: DataFrame, nodes: int, n_random: int = 20, levels: tuple[int, int] | None = None, seed: int = 42) -> DataFrame:
+    """(r, k, phi, phi_norm): mean weight among nodes of degree above k, over that of rewired graphs (made once a replicate)."""
+    low, high = levels or degree_range(samples, nodes)
 
     def kernel(r, pdf):
         m = matrix(pdf, nodes)
         null = [rewire(m, 10, rng("rich-club", seed, r, k)) for k in range(n_random)]
-        degree = (m > 0).sum(axis=1)
-        low, high = (int(np.percentile(degree[degree > 0], 10)), int(np.percentile(degree, 90))) if degree.any() else (0, 0)
         for k in range(low, high + 1):
-            base, value = float(np.mean([phi(x, k) for x in null])), phi(m, k)
+            base, value = float(np.mean([_phi(x, k) for x in null] or [0.0])), _phi(m, k)
             yield k, value, value / base if base > 0 else 0.0
 
     return _grouped(samples, "r", "k int, phi double, phi_norm double", kernel)
 
 
+def rich_club_summary(values: DataFrame) -> DataFrame:
+    """(k, replicates, phi_mean, phi_std, phi_low, phi_high, norm_mean, norm_std, norm_low, norm_high) of rich_club_normalized."""
+    out = [F.count("*").alias("replicates")]
+    for name, c in (("phi", "phi"), ("norm", "phi_norm")):
+        out += [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std"), F.percentile(c, 0.025).alias(f"{name}_low"), F.percentile(c, 0.975).alias(f"{name}_high")]
+    return values.groupBy("k").agg(*out)
+
+
+def rich_club_members(samples: DataFrame, nodes: int, k: int) -> DataFrame:
+    """(node, share): share of replicates in which a node's degree is above k."""
+
+    def kernel(r, pdf):
+        yield from enumerate((((matrix(pdf, nodes) > 0).sum(axis=1) > k) * 1.0).tolist())
+
+    return _grouped(samples, "r", "node int, rich double", kernel).groupBy("node").agg(F.avg("rich").alias("share"))
+
+
+def hub_samples(samples: DataFrame, nodes: int, community: list[int] | None = None, percentile: float = 80.0, seed: int = 42) -> DataFrame:
+    """(r, node, strength, betweenness, participation, z, hub_class) for each replicate.
+
+    community: the nodes' communities (one small list); without it every replicate has its own Louvain partition. A hub's
+    strength is above the percentile; provincial 1, connector 2, kinless 3 by participation, others 0.
+    """
+
+    def kernel(r, pdf):
+        m = matrix(pdf, nodes)
+        label = np.unique(community, return_inverse=True)[1] if community is not None else louvain(m, seed=seed + r)
+        strength, member = m.sum(axis=1), np.eye(label.max() + 1)[label]
+        toward = m @ member
+        share = np.divide(toward, strength[:, None], out=np.zeros_like(toward), where=strength[:, None] > 0)
+        part = 1 - (share**2).sum(axis=1)
+        inside = (toward * member).sum(axis=1)
+        size, mean = member.sum(axis=0), (member * inside[:, None]).sum(axis=0) / np.maximum(member.sum(axis=0), 1)
+        spread = np.sqrt((member * (inside[:, None] - mean) ** 2).sum(axis=0) / np.maximum(size, 1))[label]
+        z = np.divide(inside - mean[label], spread, out=np.zeros(nodes), where=(spread > 1e-12) & (size[label] > 1))
+        hub = np.where(strength <= np.percentile(strength, percentile), 0, np.where(part < 0.3, 1, np.where(part < 0.75, 2, 3)))
+        yield from zip(range(nodes), strength.tolist(), betweenness(m).tolist(), part.tolist(), z.tolist(), hub.tolist(), strict=True)
+
+    return _grouped(samples, "r", "node int, strength double, betweenness double, participation double, z double, hub_class int", kernel)
+
+
+def hub_summary(values: DataFrame) -> DataFrame:
+    """By node: hub_probability, hub_class (the commonest, the smallest of ties), stability, means, deviations and intervals."""
+    counts = values.groupBy("node", "hub_class").agg(F.count("*").alias("n"))
+    modal = counts.groupBy("node").agg(F.max(F.struct("n", -F.col("hub_class"))).alias("top"), F.sum("n").alias("runs"))
+    modal = modal.select("node", (-F.col("top").getField("col2")).alias("hub_class"), (F.col("top.n") / F.col("runs")).alias("stability"))
+    out = [F.avg((F.col("hub_class") > 0).cast("double")).alias("hub_probability"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std")]
+    for c in ("betweenness", "participation"):
+        out += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.percentile(c, 0.025).alias(f"{c}_low"), F.percentile(c, 0.975).alias(f"{c}_high")]
+    return values.groupBy("node").agg(*out).join(modal, "node")
+
+
+def community_detection(samples: DataFrame, nodes: int, n_runs: int = 100, classes: DataFrame | None = None, resolution: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(partitions, consensus) of the first n_runs replicates: Louvain on each, co-assignment, Louvain on that.
+
+    classes(i, j, label) keeps the edges of label 3 and above only. partitions has the modularity of its run, from which
+    plotdata.community_spread gives the distributions.
+    """
+    from quorra.operators.graph import coassignment
+
+    some = samples.where(F.col("r") < n_runs)
+    if classes is not None:
+        some = some.join(classes.where("label >= 3").select("i", "j"), ["i", "j"], "left_semi")
+    found = partitions(some, nodes, resolution, seed)
+    return found, consensus(coassignment(found.select("r", "node", "community")), nodes, seed)
+
+
 def supra_components(tests: DataFrame, nodes: int, threshold: float = 3.0, tail: str = "both", key: str = "perm") -> DataFrame:
     """(perm, component, size) of tests(perm, i, j, t): components of edges beyond the threshold, size in edges."""
     beyond = {"both": F.abs("t") > threshold, "left": F.col("t") < -threshold, "right": F.col("t") > threshold}[tail]
@@ -354,6 +456,20 @@ def tfnbs(tests: DataFrame, nodes: int, extent: float = 0.5, height: float = 2.0
     return _grouped(tests, key, "i int, j int, score double", kernel)
 
 
+def tfnbs_tested(subject_edges: DataFrame, nodes: int, n_permutations: int = 5000, extent: float = 0.5, height: float = 2.0, step: float = 0.1, seed: int = 42) -> DataFrame:
+    """(i, j, score, p, significant): p is the share of relabellings whose largest |score| is as large; edges of score 0 have p 1 and no row."""
+    scores = tfnbs(permuted_tests(subject_edges, n_permutations, seed), nodes, extent, height, step)
+    return _against_largest(scores, "score", n_permutations)
+
+
+def _against_largest(found: DataFrame, value: str, permutations: int) -> DataFrame:
+    """The rows of perm 0 with p: the share of relabellings whose largest |value| is as large. One number a relabelling is gathered."""
+    tops = found.where("perm > 0").groupBy("perm").agg(F.max(F.round(F.abs(value), 9)).alias("top")).agg(F.collect_list("top").alias("tops"))
+    rows = found.where("perm = 0").drop("perm").crossJoin(F.broadcast(tops))  # one row of a number a permutation
+    p = F.size(F.filter("tops", lambda x: x >= F.round(F.abs(F.col(value)), 9))) / F.lit(permutations)
+    return rows.withColumn("p", p).withColumn("significant", F.col("p") < 0.05).drop("tops")
+
+
 def permuted_tests(subject_edges: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     """(perm, i, j, t): the Welch test of every relabelling; perm 0 is the true one."""
     from quorra.operators.inference import permuted_steps, ttest_steps
@@ -361,58 +477,105 @@ def permuted_tests(subject_edges: DataFrame, permutations: int, seed: int = 42)
 
     perms = run(subject_edges.sparkSession, permuted_steps(Spark, permutations, seed), subject_edges=subject_edges)
     moved = subject_edges.join(perms, "subject").select("perm", "subject", F.col("g").alias("grp"), "i", "j", "w")
-    steps = [(n, q.replace("GROUP BY i, j", "GROUP BY perm, i, j").replace("SELECT i, j", "SELECT perm, i, j") if n != "sizes" else q) for n, q in ttest_steps("{moved}")]
-    return run(subject_edges.sparkSession, steps, moved=moved)
+    # the groups' sizes are the same for every relabelling; those of the true one
+    steps = [(n, q if n != "sizes" else q + " WHERE perm = 0") for n, q in ttest_steps("{moved}", "perm")]
+    return run(subject_edges.sparkSession, steps, moved=moved).select("perm", "i", "j", F.round("t", 9).alias("t"))
 
 
 def nbs(subject_edges: DataFrame, nodes: int, threshold: float = 3.0, n_permutations: int = 5000, tail: str = "both", seed: int = 42) -> DataFrame:
     """(component, size, p): observed components with family-wise p, the share of relabellings whose largest is as large."""
     found = supra_components(permuted_tests(subject_edges, n_permutations, seed), nodes, threshold, tail)
-    largest = found.where("perm > 0").groupBy("perm").agg(F.max("size").alias("top"))
-    observed = found.where("perm = 0").select("component", "size")
-    joined = observed.join(F.broadcast(largest), F.col("top") >= F.col("size"), "left")  # a row a permutation at most
-    return joined.groupBy("component", "size").agg((F.count("top") / F.lit(n_permutations)).alias("p"))
+    return _against_largest(found, "size", n_permutations).drop("significant")
+
+
+def nbs_edges(subject_edges: DataFrame, nodes: int, threshold: float = 3.0, n_permutations: int = 5000, tail: str = "both", seed: int = 42) -> DataFrame:
+    """(i, j, t, component, size, p, significant): the edges of every observed component with its p."""
+    tests = permuted_tests(subject_edges, n_permutations, seed)
+    tested = nbs(subject_edges, nodes, threshold, n_permutations, tail, seed)
+    beyond = {"both": F.abs("t") > threshold, "left": F.col("t") < -threshold, "right": F.col("t") > threshold}[tail]
+
+    def kernel(value, pdf):
+        label = components(pdf[["i", "j"]].to_numpy(), nodes)
+        yield from ((int(i), int(j), float(t), int(label[i])) for i, j, t in zip(pdf["i"], pdf["j"], pdf["t"], strict=True))
+
+    edges = _grouped(tests.where("perm = 0").where(beyond), "perm", "i int, j int, t double, component int", kernel).drop("perm")
+    return edges.join(tested, "component").withColumn("significant", F.col("p") < 0.05)
+
+
+def pls_covariances(features: DataFrame, behaviors: DataFrame, n_permutations: int, n_bootstrap: int, seed: int = 42) -> DataFrame:
+    """(n, kind, feature, var, c): centred X'Y of the data (kind data), of permuted behaviours and of resampled subjects.
+
+    Sums by aggregation: no task or driver holds the subjects by features.
+    """
+    spark = features.sparkSession
+    people = behaviors.select("subject").distinct()
+    draws = spark.range(0, 1 + n_permutations + n_bootstrap).withColumnRenamed("id", "n")
+    kind = F.when(F.col("n") == 0, "data").when(F.col("n") <= n_permutations, "perm").otherwise("boot")
+    from pyspark.sql.window import Window
+
+    nth = F.row_number().over(Window.orderBy("subject")) - 1  # subjects of a cohort
+    people = people.withColumn("k", nth).withColumn("size", F.count("*").over(Window.partitionBy()))
+    each = people.crossJoin(draws.withColumn("kind", kind))  # subjects by replicates
+    mixed = F.xxhash64(F.lit(seed), "n", "k")
+    place = F.row_number().over(Window.partitionBy("n").orderBy(mixed, "k")) - 1
+    each = each.withColumn("to", F.when(F.col("kind") == "data", F.col("k")).when(F.col("kind") == "perm", place).otherwise(F.pmod(mixed, F.col("size"))))
+    names = people.select(F.col("k").alias("to"), F.col("subject").alias("other"))
+    each = each.join(names, "to")
+    # a permutation gives subject k the behaviour of another; a resample takes both from another
+    pairs = each.select("n", "kind", "size", F.when(F.col("kind") == "boot", F.col("other")).otherwise(F.col("subject")).alias("x_of"), F.col("other").alias("y_of"))
+    pairs = pairs.groupBy("n", "kind", "size", "x_of", "y_of").agg(F.count("*").alias("m"))
+    y = pairs.join(behaviors.withColumnRenamed("subject", "y_of"), "y_of")
+    y = y.join(y.groupBy("n", "var").agg((F.sum(F.col("m") * F.col("y")) / F.max("size")).alias("mean")), ["n", "var"])
+    y = y.select("n", "kind", "var", "x_of", (F.col("m") * (F.col("y") - F.col("mean"))).alias("y"))
+    # the behaviours are centred, so the features need not be
+    joined = y.join(features.withColumnRenamed("subject", "x_of"), "x_of")
+    return joined.groupBy("n", "kind", "feature", "var").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+
+
+def _decomposed(pdf: pd.DataFrame, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, u, s, v) of one covariance table; the largest |u| of a component is positive."""
+    table = pdf.pivot(index="feature", columns="var", values="c").fillna(0.0).sort_index()
+    u, s, v = np.linalg.svd(table.to_numpy(), full_matrices=False)
+    u, s, v = u[:, :components], s[:components], v[:components]
+    sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
+    sign = np.where(sign == 0, 1, sign)
+    return table.index.to_numpy(), u * sign, s, (v.T * sign).T
 
 
 def pls(features: DataFrame, behaviors: DataFrame, n_components: int = 5, n_permutations: int = 200, n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
-    """(component, singular_value, explained, p, n_reliable) of features(subject, feature, x) and behaviors(subject, var, y).
+    """(component, singular_value, explained, p, n_reliable) of features(subject, feature, x) and behaviors(subject, var, y)."""
+    values, weights = pls_tables(features, behaviors, n_components, n_permutations, n_bootstrap, seed)
+    reliable = weights.groupBy("component").agg(F.count_if(F.abs("ratio") > 2).alias("n_reliable"))
+    return values.join(reliable, "component")
+
+
+def pls_tables(features: DataFrame, behaviors: DataFrame, n_components: int = 5, n_permutations: int = 200, n_bootstrap: int = 200, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(component, singular_value, explained, p) and (component, feature, weight, ratio): ratio is weight over its bootstrap deviation.
 
-    Subjects by features must fit one task; permutations and bootstraps run as separate tasks on the shipped matrix.
+    Every replicate's features by behaviours is one small matrix in one task. The data's weights, features by
+    components, go to every task; explained is of the components kept.
     """
+    made = pls_covariances(features, behaviors, n_permutations, n_bootstrap, seed)
+    base = made.where("kind = 'data'").select("feature", "var", "c").toPandas()
+    feature, u0, s0, _ = _decomposed(base, n_components)
+    k = len(s0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, u, s, _ = _decomposed(pdf, k)
+        if pdf["kind"].iloc[0] == "perm":
+            return pd.DataFrame({"kind": "perm", "component": np.arange(len(s)), "feature": -1, "v": s})
+        whole = np.zeros_like(u0)
+        whole[np.searchsorted(feature, f)] = u
+        a, _, b = np.linalg.svd(whole.T @ u0)
+        turned = whole @ (a @ b)
+        return pd.DataFrame({"kind": "boot", "component": np.repeat(np.arange(k), len(feature)), "feature": np.tile(feature, k), "v": turned.T.ravel()})
+
+    made = made.where("kind != 'data'").groupBy("n").applyInPandas(run, "kind string, component int, feature long, v double")
     spark = features.sparkSession
-    x = features.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("feature", "x"))).alias("f"))
-    y = behaviors.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("var", "y"))).alias("b"))
-    rows = x.join(y, "subject").select("subject", "f.x", "b.y").orderBy("subject").collect()  # one row a subject
-    a, b = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    k = min(n_components, a.shape[1], b.shape[1])
-
-    def decompose(p: np.ndarray, q: np.ndarray):
-        u, s, _ = np.linalg.svd((p - p.mean(0)).T @ (q - q.mean(0)), full_matrices=False)
-        u, s = u[:, :k], s[:k]
-        sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
-        return u * np.where(sign == 0, 1, sign), s
-
-    u0, s0 = decompose(a, b)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for n in batch["id"]:
-                draw = rng("pls", seed, n)
-                if n < n_permutations:
-                    out += [(int(n), "perm", c, float(v), None) for c, v in enumerate(decompose(a, b[draw.permutation(len(b))])[1])]
-                else:
-                    at = draw.integers(0, len(a), len(a))
-                    u = decompose(a[at], b[at])[0]
-                    w, _, z = np.linalg.svd(u.T @ u0)
-                    out += [(int(n), "boot", c, 0.0, col.tolist()) for c, col in enumerate((u @ w @ z).T)]
-            yield pd.DataFrame(out, columns=["n", "kind", "component", "s", "u"])
-
-    tasks = n_permutations + n_bootstrap
-    made = spark.range(0, tasks, 1, min(tasks, 64)).mapInPandas(run, "n long, kind string, component int, s double, u array<double>")
-    base = spark.createDataFrame([(c, float(s0[c]), float(s0[c] ** 2 / (s0**2).sum()), u0[:, c].tolist()) for c in range(k)], "component int, singular_value double, explained double, u0 array<double>")
-    p = made.where("kind = 'perm'").join(F.broadcast(base), "component").groupBy("component").agg(F.avg((F.col("s") >= F.col("singular_value")).cast("double")).alias("p"))
-    cells = made.where("kind = 'boot'").select("component", F.posexplode("u").alias("f", "v")).groupBy("component", "f").agg(F.stddev_pop("v").alias("se"))
-    cells = cells.join(base.select("component", F.posexplode("u0").alias("f", "v")), ["component", "f"])
-    reliable = cells.groupBy("component").agg(F.count_if((F.col("se") > 0) & (F.abs(F.col("v") / F.nullif("se", F.lit(0.0))) > 2)).alias("n_reliable"))
-    return base.drop("u0").join(p, "component").join(reliable, "component")
+    values = spark.createDataFrame([(c, float(s0[c]), float(s0[c] ** 2 / max((s0**2).sum(), 1e-300))) for c in range(k)], "component int, singular_value double, explained double")
+    above = made.where("kind = 'perm'").join(F.broadcast(values), "component")
+    p = above.groupBy("component").agg((F.count_if(F.col("v") >= F.col("singular_value")) / F.lit(n_permutations)).alias("p"))
+    weights = spark.createDataFrame([(c, int(feature[f]), float(u0[f, c])) for c in range(k) for f in range(len(feature))], "component int, feature long, weight double")
+    spread = made.where("kind = 'boot'").groupBy("component", "feature").agg(F.stddev_pop("v").alias("se"))
+    ratio = F.when(F.col("se") > 0, F.col("weight") / F.col("se")).otherwise(0.0)
+    return values.join(p, "component"), weights.join(spread, ["component", "feature"]).select("component", "feature", "weight", ratio.alias("ratio"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quorra.plans.sql import Steps
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorra.plans.sql import Spark, Steps, run
 
 
 def uncertainty_steps(dialect, table: str) -> Steps:
     return [
         ("logs", f"SELECT log10(mean + 1e-10) AS lm, log10(std + 1e-10) AS ls, cv, mean FROM {table}"),
-        ("out", f"SELECT {dialect.quantile('lm', 0.05)} AS mean_low, {dialect.quantile('lm', 0.95)} AS mean_high, {dialect.quantile('CASE WHEN ls > -9 THEN ls END', 0.05)} AS std_low, {dialect.quantile('CASE WHEN ls > -9 THEN ls END', 0.95)} AS std_high, {dialect.quantile('CASE WHEN cv > 0 THEN cv END', 0.95)} AS cv_high, avg(CASE WHEN mean > 0 THEN cv END) AS mean_cv FROM logs"),
+        ("out", f"SELECT {dialect.quantile('CASE WHEN lm > -9 THEN lm END', 0.05)} AS mean_low, {dialect.quantile('CASE WHEN lm > -9 THEN lm END', 0.95)} AS mean_high, {dialect.quantile('CASE WHEN ls > -9 THEN ls END', 0.05)} AS std_low, {dialect.quantile('CASE WHEN ls > -9 THEN ls END', 0.95)} AS std_high, {dialect.quantile('CASE WHEN cv > 0 THEN cv END', 0.95)} AS cv_high, avg(CASE WHEN mean > 0 THEN cv END) AS mean_cv FROM logs"),
     ]
 
 
@@ -34,8 +37,59 @@ def nbs_steps(dialect, table: str, threshold: float) -> Steps:
 
 
 def hub_order_steps(table: str) -> Steps:
-    return [("out", f"SELECT node, strength, participation, z, hub_class, row_number() OVER (ORDER BY strength DESC, node) AS by_strength, row_number() OVER (ORDER BY round(participation, 9) DESC, node) AS by_participation FROM {table}")]
+    return [("out", f"SELECT node, strength, participation, z, hub_class, row_number() OVER (ORDER BY strength DESC, node) AS by_strength, row_number() OVER (ORDER BY round(participation, 9) DESC, node) AS by_participation, row_number() OVER (ORDER BY hub_class DESC, strength DESC, node) AS by_class FROM {table}")]
 
 
 def prediction_steps(table: str) -> Steps:
     return [("out", f"SELECT corr(predicted, actual) AS r, regr_slope(predicted, actual) AS slope, regr_intercept(predicted, actual) AS intercept, avg(ci_high - ci_low) AS width FROM {table}")]
+
+
+def tract_bands_steps(bands: str, compared: str) -> Steps:
+    """Bands of a profile with the points at which groups differ: bands(pt, mean, ci_low, ci_high), compared(pt, t, p_corrected)."""
+    return [("out", f"SELECT b.pt, mean, ci_low, ci_high, t, CASE WHEN p_corrected < 0.05 THEN 1 ELSE 0 END AS significant FROM {bands} b JOIN {compared} c ON c.pt = b.pt")]
+
+
+def communicability_steps(table: str) -> Steps:
+    """(i, j, value, place) of table(i, j, value): log10 cells, and the diagonal (subgraph centrality) in descending order."""
+    return [("out", f"SELECT i, j, log10(value + 1e-10) AS value, CASE WHEN i = j THEN row_number() OVER (PARTITION BY CASE WHEN i = j THEN 1 ELSE 0 END ORDER BY round(value, 9) DESC, i) END AS place FROM {table}")]
+
+
+def latent_variable_steps(scores: str) -> Steps:
+    """Correlation of brain and behaviour scores."""
+    return [("out", f"SELECT corr(brain, behaviour) AS r, count(*) AS n FROM {scores}")]
+
+
+def metric_intervals(values: DataFrame, summary: DataFrame) -> DataFrame:
+    """(metric, r, value, mean, ci_low, ci_high): every sample of a scalar metric beside its interval."""
+    return values.join(summary.select("metric", "mean", "ci_low", "ci_high"), "metric").select("metric", "r", "value", "mean", "ci_low", "ci_high")
+
+
+def rich_club_curves(summary: DataFrame) -> DataFrame:
+    """(curve, k, mean, low, high) of kernels.rich_club_summary: both curves with their bands, in long form."""
+    return summary.select(F.expr("stack(2, 'phi', phi_mean, phi_low, phi_high, 'phi_norm', norm_mean, norm_low, norm_high) AS (curve, mean, low, high)"), "k").select("curve", "k", "mean", "low", "high")
+
+
+def reliable_cells(weights: DataFrame, show: int = 2) -> DataFrame:
+    """(component, feature, ratio, reliable) of kernels.pls_weights for the first components: |ratio| above 2 is reliable."""
+    return weights.where(F.col("component") < show).select("component", "feature", "ratio", (F.abs("ratio") > 2).alias("reliable"))
+
+
+def community_spread(partitions: DataFrame) -> DataFrame:
+    """(n_communities, runs, q_mean, q_std): how many runs found how many communities, and all runs' modularity."""
+    each = partitions.groupBy("r").agg(F.countDistinct("community").alias("n_communities"), F.max("modularity").alias("q"))
+    whole = each.agg(F.avg("q").alias("q_mean"), F.stddev_pop("q").alias("q_std"))
+    return each.groupBy("n_communities").agg(F.count("*").alias("runs")).crossJoin(F.broadcast(whole))  # one row
+
+
+def uncertainty(edge_stats: DataFrame) -> DataFrame:
+    return run(edge_stats.sparkSession, uncertainty_steps(Spark, "{edge_stats}"), edge_stats=edge_stats)
+
+
+def ordered_nodes(partition: DataFrame) -> DataFrame:
+    return run(partition.sparkSession, ordered_nodes_steps(), partition=partition)
+
+
+def clinical(strengths: DataFrame, top: int = 5) -> DataFrame:
+    """strengths(node, strength, degree): a node's stability and a second score; rows with a null in either are left out."""
+    steps = [(n, q.replace("FROM strengths", "FROM {strengths}")) for n, q in clinical_steps(top)]
+    return run(strengths.sparkSession, steps, strengths=strengths.dropna(subset=["strength", "degree"]))

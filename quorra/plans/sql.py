@@ -1,4 +1,4 @@
-"""Plans as SQL steps that Spark and DuckDB both run; the dialects differ in hashing, percentiles and series only."""
+"""Plans as SQL steps: named subqueries that Catalyst plans as one; the dialect holds hashing, percentiles and series."""
 
 from __future__ import annotations
 
@@ -24,25 +24,12 @@ class Spark:
         return f"SELECT {rest}, pos AS pt, cast(v AS double) AS v FROM {table} LATERAL VIEW posexplode({array}) AS pos, v"
 
 
-class Duck:
-    @staticmethod
-    def hashed(*parts: object) -> str:
-        return f"('0x' || substr(md5(concat_ws(':', {', '.join(f'cast({p} as varchar)' for p in parts)})), 1, 8))::bigint"
-
-    @staticmethod
-    def quantile(x: str, p: float) -> str:
-        return f"quantile_cont({x}, {p})"
-
-    @staticmethod
-    def series(n: object, name: str) -> str:
-        return f"(SELECT range AS {name} FROM range({n}))"
+Steps = list[tuple[str, str]]
 
-    @staticmethod
-    def points(array: str, rest: str, names: str, table: str) -> str:
-        return f"SELECT {names}, cast(pt - 1 AS int) AS pt, cast(v AS double) AS v FROM (SELECT {rest}, unnest({array}) AS v, generate_subscripts({array}, 1) AS pt FROM {table})"
 
-
-Steps = list[tuple[str, str]]
+def values(rows, names: str) -> str:
+    """A table of numbers written out."""
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(float(v)) if isinstance(v, float) else str(int(v)) for v in row) + ")" for row in rows) + f") AS t({names})"
 
 
 def _text(steps: Steps) -> str:
@@ -53,11 +40,3 @@ def _text(steps: Steps) -> str:
 def run(spark: SparkSession, steps: Steps, **inputs: DataFrame) -> DataFrame:
     """The last step's rows; {name} in a step is the DataFrame of that name."""
     return spark.sql(_text(steps), **inputs)
-
-
-def duck(views: Steps, steps: Steps) -> str:
-    """The same for DuckDB, with the inputs as views over the tables."""
-    text = _text([*views, *steps])
-    for name in {n for n, _ in views} | {"lineitem", "orders", "customer", "supplier", "nation", "embeddings", "events"}:
-        text = text.replace("{" + name + "}", name)
-    return text
