@@ -25,8 +25,8 @@ FILE_BYTES = 24_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _urn(page_id: int | None, digest: str) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
+def _urn(page_id: int | None, digest: str, again: int = 0) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}{f':{again}' if again else ''}>"
 
 
 def _page(urn: str) -> int | None:
@@ -34,14 +34,17 @@ def _page(urn: str) -> int | None:
     return None if value == "none" else int(value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record: a response holds the payload, a revisit names the record that does and keeps digest and size."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, again: int = 0) -> bytes:
+    """One WARC record: a response holds the payload, a revisit names the record that does and keeps digest and size.
+
+    again: how many records of the same page and payload came before it; it keeps record ids apart.
+    """
     sha1 = hashlib.sha1(payload).digest()
     digest = base64.b32encode(sha1).decode()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_urn(page_id, digest)}",
+        f"WARC-Record-ID: {_urn(page_id, digest, again)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {''.join(c for c in url or 'about:blank' if c not in '\r\n')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -82,14 +85,21 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """Dictionary from at most SAMPLE pages, those smallest by a hash of their content; empty if there is too little."""
+    """Dictionary from at most SAMPLE different pages, those smallest by a hash of their content; empty if there is too little.
+
+    The hashes alone are gathered first, then the heads of the pages that they name, each once.
+    """
     import zstandard
 
-    sample = pages.where(F.length("html") > 0).select(F.sha2("html", 256).alias("k"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-    texts = [r["html"].encode("utf-8", "surrogatepass") for r in sample.orderBy("k").limit(SAMPLE).collect()]
+    keyed = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("k"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    smallest = [r["k"] for r in keyed.select("k").distinct().orderBy("k").limit(SAMPLE).collect()]
+    if len(smallest) < 20:
+        return b""
+    heads = keyed.where((F.col("k") <= smallest[-1])).groupBy("k").agg(F.min("html").alias("html"))  # SAMPLE rows
+    texts = [r["html"].encode("utf-8", "surrogatepass") for r in heads.orderBy("k").collect()]
     try:
         size = min(DICTIONARY_BYTES, sum(map(len, texts)) // 10)
-        return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 20 and size >= 1024 else b""
+        return zstandard.train_dictionary(size, texts).as_bytes() if size >= 1024 else b""
     except zstandard.ZstdError:  # too uniform or too small to train on
         return b""
 
@@ -158,13 +168,15 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, file_bytes:
     meta = base.where(F.col("size") >= least).select(F.sha1(F.col("html").cast("binary")).alias("digest"), "page_id")
     first = meta.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = saved(first, "warc-first")
-    marked = base.withColumn("digest", F.when(F.col("size") >= least, F.sha1(F.col("html").cast("binary")))).join(first, "digest", "left")
+    large = base.where(F.col("size") >= least).withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(first, "digest", "left")
+    # small payloads are never revisits: they have no part in the join, where they would share one null key
+    small = base.where(F.col("size") < least).select(F.lit(None).cast("string").alias("digest"), *base.columns, F.lit(None).cast("long").alias("first_id"))
+    marked = large.unionByName(small)
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     count = max(parts(total[0], file_bytes), parts(total[1], 200_000))
-    # a row of a file: files are even whatever groups of copies there are, and a lost task rewrites its file alone
-    file = F.pmod(F.xxhash64("page_id", "digest", "url"), F.lit(count)).cast("int")
-    rows = marked.select(file.alias("file"), "page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    # a task a file, dealt by a hash of the row: files are even whatever groups of copies there are, and a lost task rewrites its file alone
+    rows = marked.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -178,10 +190,13 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, file_bytes:
             if trained:
                 packed = zstandard.ZstdCompressor(level=9).compress(trained)
                 out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
+            seen: dict[tuple, int] = {}  # rows of a file: those that repeat page and payload are all in one
             for batch in batches:
-                for page_id, url, html, again, target in zip(batch["page_id"], batch["url"], batch["html"], batch["revisit"], batch["refers_to"], strict=True):
+                for page_id, url, html, revisited, target in zip(batch["page_id"], batch["url"], batch["html"], batch["revisit"], batch["refers_to"], strict=True):
                     page = None if page_id is None or page_id != page_id else int(page_id)
-                    out.write(writer.compress(record(page, url, html.encode("utf-8", "surrogatepass"), int(target) if again else None, bool(again))))
+                    before = seen.get(key := (page, hash(html)), 0)
+                    seen[key] = before + 1
+                    out.write(writer.compress(record(page, url, html.encode("utf-8", "surrogatepass"), int(target) if revisited else None, bool(revisited), before)))
                     done[0] += 1
 
         publish(path, f"{part:08d}.warc.zst", fill)
@@ -189,7 +204,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, file_bytes:
 
     # ids travel as decimal text: pandas would turn longs with nulls into doubles
     rows = rows.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
-    dealt = rows.repartition(count, "file").select("page_id", "url", "html", "revisit", "refers_to")
+    dealt = rows.repartition(count, "page_id", F.xxhash64("html"))
     return saved(dealt.mapInPandas(write, "file int, records long").where("records > 0"), "warc-files")
 
 
@@ -199,8 +214,10 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
-        for file in (int(x) for batch in batches for x in batch["file"]):
+        for file in (int(x) for batch in batches for x in batch["id"]):
             store, at = open_shared(f"{path}/{file:08d}.warc.zst")
+            if store.get_file_info(at).type.name == "NotFound":  # its task had no rows
+                continue
             rows, held = [], 0
             with store.open_input_stream(at, compression=None, buffer_size=1 << 20) as source:
                 for headers, block in read_archive(source):
@@ -213,8 +230,8 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame) -> DataFrame
                         rows, held = [], 0
             yield _typed(rows, names)
 
-    count = max(1, files.count())
-    return files.select("file").repartition(count, "file").mapInPandas(run, schema)
+    top = (files.agg(F.max("file")).first()[0] or 0) + 1
+    return spark.range(0, top, 1, top).mapInPandas(run, schema)  # a task a file
 
 
 def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
