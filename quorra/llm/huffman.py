@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quorra.llm.common import as_long, fresh_dir, open_shared, parts, publish, saved
 
@@ -144,7 +145,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, file_
     """Encode docs(doc_id, text) into files below path (a shared folder); returns the files: (file, docs, ids).
 
     Texts are encoded whole with the vocabulary file's tokenizer, and ``end`` is appended to each document. Null and
-    empty texts have that id only. Rows that repeat a doc_id are all written. An empty table writes no file.
+    empty texts have that id only. Rows that repeat a doc_id are all written, null doc_ids come first. Columns besides
+    doc_id and text are left out, whatever their names. An empty table writes no file.
     """
     from quorra.llm import tokens
 
@@ -280,26 +282,29 @@ def read_file(store, at: str, lanes: int = 512) -> Iterator[tuple[int | None, li
                     need = int(sizes[doc]) if doc < len(sizes) else 0
 
 
+def file_starts(files: DataFrame) -> DataFrame:
+    """(file, start): the ids of all files before each, by sums over groups of files and then within a group."""
+    grouped = files.select("file", "ids", F.floor(F.col("file") / 4096).cast("long").alias("part"))
+    sums = grouped.groupBy("part").agg(F.sum("ids").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for 4096 files
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return grouped.withColumn("inside", inside).join(sums.select("part", before.alias("before")), "part").select("file", (F.col("before") + F.col("inside")).alias("start"))
+
+
 def read_ids(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; start counts the ids of all documents before.
 
-    files is what write_ids returned: one row a file, so the prefix sums over files are small.
+    files is what write_ids returned: a row a file, each read by a task of its own as far as the range partitioning goes.
     """
-    each = files.orderBy("file").collect()
-    starts, total = {}, 0
-    for r in each:
-        starts[r["file"]] = total
-        total += r["ids"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not each:
+    count = files.count()
+    if not count:
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for file in (int(x) for batch in batches for x in batch["id"]):
-            if file not in starts:
-                continue
+        for file, start in ((int(f), int(s)) for batch in batches for f, s in zip(batch["file"], batch["start"], strict=True)):
             store, at = open_shared(f"{path}/{file:08d}.ids")
-            rows, start = [], starts[file]
+            rows = []
             for doc_id, pieces in read_file(store, at):
                 crc, n = 0, 0
                 for ids in pieces:
@@ -311,8 +316,7 @@ def read_ids(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                     rows = []
             yield _frame(rows)
 
-    top = max(starts) + 1
-    return spark.range(0, top, 1, top).mapInPandas(run, schema)
+    return file_starts(files).repartitionByRange(count, "file").mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
