@@ -63,11 +63,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
 
     size is the number of words (null text: 0); taken counts the words that the mix takes of the row, repeats
     included: whole epochs, then part of one up to the budget, the target rounded down. The order is md5 of
-    the doc_id (null: as empty), then doc_id, then the text's hash; rows equal in all are interchangeable.
+    doc_id and text (nulls as empty), so that ids that are null or repeat spread like any others, then doc_id, then the
+    text's hash; rows equal in all are interchangeable.
     Sources are compared by code point, null is a source of its own. A source without words takes
     nothing. Empty table: empty result. Other columns are ignored.
     """
-    key = F.md5(F.coalesce(as_long(F.col("doc_id")).cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(as_long(F.col("doc_id")).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size"))
     rows = saved(rows, "mixing-rows")
     total = rows.count()
@@ -94,26 +95,27 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     """docs as the mix takes them: one row for each whole epoch of a document, and a last one cut to the budget's words.
 
     Rows of which no word is taken are left out; a row without words is kept once, since it costs nothing.
-    The cut text ends with its last word taken; n_chars, if there, follows the text.
+    The cut text ends with its last word taken; n_chars, if there, follows the text. Null texts stay null, repeated rows
+    are taken one by one, other columns pass through, whatever their names. Empty table: empty result.
     """
     plan = mixture(docs, weights, epochs)
-    order = Window.partitionBy("__key").orderBy("taken")
-    plan = plan.select(row_key(F.col("doc_id"), F.col("text_key"), F.col("source")).alias("__key"), "size", "taken")
-    plan = plan.select(F.col("__key").alias("__plan"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.row_number().over(order).alias("__n"))
-    mine = docs.withColumn("__key", row_key(as_long(F.col("doc_id")), F.xxhash64("text"), F.col("source")))
-    mine = mine.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))  # equal rows in turn
-    both = mine.join(plan, (F.col("__key") == F.col("__plan")) & (F.col("__row") == F.col("__n")))
-    size = F.greatest("__size", F.lit(1))
-    whole = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.col("__taken") / size)).cast("int")
-    part = F.when(F.col("__size") == 0, 0).otherwise(F.col("__taken") - whole * F.col("__size")).cast("int")
+    order = Window.partitionBy("wanted").orderBy("taken")
+    plan = plan.select(row_key(F.col("doc_id"), F.col("text_key"), F.col("source")).alias("wanted"), "size", "taken")
+    plan = plan.withColumn("nth", F.row_number().over(order))
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names cannot clash inside
+    mine = docs.select(columns, row_key(as_long(F.col("doc_id")), F.xxhash64("text"), F.col("source")).alias("key"))
+    mine = mine.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")))  # equal rows in turn
+    both = mine.join(plan, (F.col("key") == F.col("wanted")) & (F.col("place") == F.col("nth")))
+    size, text = F.greatest("size", F.lit(1)), F.col("row.text")
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / size)).cast("int")
+    part = F.when(F.col("size") == 0, 0).otherwise(F.col("taken") - whole * F.col("size")).cast("int")
     pieces = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    out = both.withColumn("__words", F.explode(pieces))
-    spaced = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.concat_ws("", F.slice(spaced, F.lit(1), F.greatest(F.col("__words"), F.lit(1))))
-    out = out.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = both.select("row", F.explode(pieces).alias("words"))
+    spaced = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.concat_ws("", F.slice(spaced, F.lit(1), F.greatest(F.col("words"), F.lit(1))))
+    out = out.select("row.*", F.when(F.col("words") < 0, text).otherwise(cut).alias("mixed text"))
+    made = {"text": F.col("mixed text")} | ({"n_chars": F.length("mixed text").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def op4(docs: DataFrame) -> DataFrame:
 #: The same rows in DuckDB.
 OP4_SQL = """
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
