@@ -144,15 +144,13 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     of classes and the verdicts come from these.
     """
     common = saved(common_words(docs), "reference-common")
-    known = [r["key"] for r in common.select("key").limit(100_001).collect()]
-    if len(known) > 100_000:
-        raise ValueError("more than 100,000 languages: is lang a language column?")
+    counted = docs.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("count") >= LEAST_DOCS))
+    large = saved(counted.select(F.concat(F.lit("l"), "lang").alias("large")), "reference-langs")
     mine = F.concat(F.lit("l"), "lang")
     rows = base_statistics(docs.select(F.struct(*keep).alias("kept_columns"), "lang", "text")).drop("text")
-    # one row a language, a few kilobytes each: their number is proven above
-    own = F.broadcast(common.select(F.col("key").alias("own"), F.col("common").alias("own_common")))
+    # a row a language, written, so that Spark knows their size and broadcasts them if it is small; the pool is one row
+    own = common.select(F.col("key").alias("own"), F.col("common").alias("own_common"))
     pool = F.broadcast(common.where("key = 'p'").select(F.col("common").alias("pool_common")))
-    large = F.broadcast(docs.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("count") >= LEAST_DOCS)).limit(100_001).select(F.concat(F.lit("l"), "lang").alias("large")))
     rows = rows.join(large, mine == F.col("large"), "left").join(own, F.col("large") == F.col("own"), "left").join(pool, F.lit(True), "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumn("key", F.coalesce("large", F.lit("p")))
@@ -168,8 +166,7 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("mix", F.transform(F.concat("bins", F.array(rest)), lambda x: x / F.greatest(size, F.lit(1))))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     measured = saved(rows.select("kept_columns", "lang", "key", "class_n", "mix", *stats, "base_failed"), "measured")
-    pool = saved(references(measured, common), "references")  # again a row a language
-    joined = measured.join(F.broadcast(pool), "key", "left")
+    joined = measured.join(saved(references(measured, common), "references"), "key", "left")  # again a row a language
     chars = F.aggregate("class_n", F.lit(0).cast("long"), lambda a, x: a + x)
     classes = F.transform("class_n", lambda x: x / F.greatest(chars, F.lit(1)))
     joined = joined.withColumn("class_distance", F.when(chars >= LEAST_CHARS, js_distance(classes, F.col("classes"))))
