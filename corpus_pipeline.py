@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quorra.llm import cotrain, mixing, packing, simhash, suffix_dedup, tokens
-from quorra.llm.common import saved
+from quorra.llm.common import release, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps.
+
+    Nulls in any column are features of their own; rows that repeat are judged alike; without labels of both classes every
+    document stays. An empty table gives an empty one; columns besides COLUMNS are left out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return cotrain.classify(docs, labels).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of texts whose five-word shingles are 0.8 similar."""
+    """One document, that of the smallest doc_id, of each class of texts whose five-word shingles are 0.8 similar.
+
+    Null doc_ids come last, null and empty texts are one class, rows that repeat id and text are one row. An empty
+    table gives an empty one; columns besides COLUMNS are left out.
+    """
     return simhash.near_dedup(docs).select(*COLUMNS)
 
 
@@ -28,18 +35,24 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents with nothing left go; null and empty texts, and texts that lose nothing, stay as they are. Rows that repeat a
     text lose all of it that is long enough. An empty table gives an empty one; columns besides COLUMNS are left out.
     """
-    left = suffix_dedup.deduped_text(docs)
-    # cutting a passage that many documents share can leave nothing but white space
-    return left.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.length("text") == 0)).select(*COLUMNS)
+    return suffix_dedup.deduped_text(docs, emptied=False).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: a row an epoch, the last one cut at the source's budget."""
+    """Documents as the mix takes them: a row an epoch, the last one cut at the source's budget.
+
+    A null source is a source; rows without words stay once; rows that repeat are taken one by one. An empty table gives
+    an empty one; columns besides COLUMNS are left out.
+    """
     return mixing.mixed_documents(docs).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and its offset there."""
+    """Every piece of every document with its sequence and its offset there.
+
+    Null and empty texts are the end id alone; null and repeated doc_ids are documents of their own; other columns are
+    left out. An empty table gives an empty one.
+    """
     return packing.op7(docs, tokens.public("byte_bpe_50k.json"))
 
 
@@ -51,12 +64,16 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The classifier and the near-duplicate classes are not SQL; tests hold the stages against brute force.
+#: The classifier and the near-duplicate classes are not SQL; tests hold stages 2 to 5 against brute force, stage 1 against
+#: held-out labels, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each but the last written to the shared folder; what only a stage needed is removed after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        label = f"stage-{name.replace(' ', '-')}"
+        docs = saved(stage(spark, docs, sf_dir), label)
+        release(spark, (label,))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorra.llm.common import as_long, parts, saved
+from quorra.llm.common import WORD, as_long, parts, saved
 
 LENGTH = 400
 #: The corpus stage also cuts passages of so many words (more than 50) that occur elsewhere, however few bytes they have.
@@ -478,13 +478,16 @@ def op2(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def deduped_text(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE) -> DataFrame:
+def deduped_text(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE, emptied: bool = True) -> DataFrame:
     """docs with repeated strings and passages cut from text; null texts stay null, n_chars (if there) follows the text.
 
-    Every row stays, if only with an empty text; other columns pass through, whatever their names and nulls.
+    Every row stays, if only with an empty text; without ``emptied``, rows go that lost something and have no word left.
+    Other columns pass through, whatever their names and nulls.
     """
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.col("text").isNull().alias("no text"))
     done = remove_repeats(docs.select(rest.alias("rest"), "text"), length, decode=True, words=words)
+    if not emptied:
+        done = done.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     done = done.select("rest.*", F.when(~F.col("rest")["no text"], F.col("kept_text")).alias("text"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
