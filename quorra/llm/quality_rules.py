@@ -179,3 +179,37 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
 def op8(docs: DataFrame) -> DataFrame:
     rows = judged(docs.select(as_long(F.col("doc_id")).alias("doc_id"), "text", "lang"), ["doc_id"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
+
+
+#: The same rows in DuckDB, one row a word, window and histogram bin.
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+large AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
+k AS MATERIALIZED (SELECT d.*, CASE WHEN large.lang IS NULL THEN 'p' ELSE 'l' || large.lang END AS key, string_split(t, chr(10)) AS lines, array_to_string(w, '') AS solid FROM d LEFT JOIN large ON large.lang = d.lang),
+ls AS MATERIALIZED (SELECT row, unnest(lines) AS line FROM k),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM ls WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+win AS MATERIALIZED (SELECT row, i, w[i : i + 4] AS x FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM k WHERE len(w) >= 5)),
+hit AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, x) > 1),
+rep AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM hit, range(5) r(j) GROUP BY row),
+cl AS MATERIALIZED (SELECT row, key, c, unnest([
+    length(regexp_replace(solid, '[^\p{Lu}]', '', 'g')), length(regexp_replace(solid, '[^\p{L}]', '', 'g')) - length(regexp_replace(solid, '[^\p{Lu}]', '', 'g')), length(regexp_replace(solid, '[^\p{N}]', '', 'g')),
+    length(t) - length(solid), length(regexp_replace(solid, '[^.,;:!?''"()\-]', '', 'g')), length(regexp_replace(solid, '[\p{L}\p{N}.,;:!?''"()\-]', '', 'g'))]) AS n, unnest(range(6)) AS bin FROM (SELECT *, length(t) AS c FROM k)),
+cref AS MATERIALIZED (SELECT key, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY key), 1) AS q FROM (SELECT key, bin, n FROM cl WHERE key <> 'p' UNION ALL SELECT 'p', bin, n FROM cl) GROUP BY key, bin),
+each AS MATERIALIZED (SELECT row, key, unnest(w) AS word FROM k),
+cnt AS MATERIALIZED (SELECT key, word, count(*) AS n FROM (SELECT key, word FROM each WHERE key <> 'p' UNION ALL SELECT 'p', word FROM each) GROUP BY key, word),
+tot AS (SELECT key, sum(n) AS total FROM cnt GROUP BY key),
+top AS MATERIALIZED (SELECT key, word, n / total AS q FROM cnt JOIN tot USING (key) WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, word) <= 24),
+own AS (SELECT row, key, word, count(*) AS n FROM each GROUP BY row, key, word),
+bins AS MATERIALIZED (SELECT k.row, top.q, coalesce(own.n, 0) / greatest(len(k.w), 1) AS p FROM k JOIN top ON top.key = k.key LEFT JOIN own ON own.row = k.row AND own.word = top.word),
+rest AS (SELECT k.row, 1 - coalesce(any_value(s.q), 0) AS q, CASE WHEN any_value(len(k.w)) > 0 THEN 1 - coalesce(any_value(s.p), 0) ELSE 0 END AS p FROM k LEFT JOIN (SELECT row, sum(q) AS q, sum(p) AS p FROM bins GROUP BY row) s USING (row) GROUP BY k.row),
+js AS (SELECT row, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d FROM (
+  SELECT row, 'w' AS kind, p, q FROM bins UNION ALL SELECT row, 'w', p, q FROM rest
+  UNION ALL SELECT row, 'c', n / greatest(sum(n) OVER (PARTITION BY row), 1), q FROM cl JOIN cref USING (key, bin)) GROUP BY row, kind),
+a AS (SELECT k.row, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(solid) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+  CASE WHEN length(t) >= 200 THEN c.d END AS class_distance, CASE WHEN len(w) >= 40 THEN v.d END AS word_distance
+  FROM k LEFT JOIN dup USING (row) LEFT JOIN rep USING (row) JOIN js c ON c.row = k.row AND c.kind = 'c' JOIN js v ON v.row = k.row AND v.kind = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(class_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.42 AS kept,
+  round(class_distance, 4) AS class_distance, round(word_distance, 4) AS word_distance FROM a
+"""

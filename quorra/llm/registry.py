@@ -61,4 +61,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_source_mixing": mixing.OP4_SQL, "op6_warc": warc.OP6_SQL}
+    """SQL where it can express an operator: the others hash by XXH64, tokenize, compress or learn."""
+    return {"op2_suffix_array_dedup": suffix_dedup.OP2_SQL, "op4_source_mixing": mixing.OP4_SQL, "op6_warc": warc.OP6_SQL, "op8_quality_rules": quality_rules.OP8_SQL}

@@ -494,4 +494,19 @@ def deduped_text(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE, em
     return done.select(*docs.columns)
 
 
-__all__ = ["PASSAGE", "Scale", "cut", "deduped_text", "marked", "op2", "remove_repeats", "repeated_spans", "repeated_starts", "runs", "suffix_order"]
+#: The same rows in DuckDB: every string of 400 bytes by its hash.
+OP2_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS body FROM documents),
+s AS MATERIALIZED (SELECT row, p, md5(body[p + 1 : p + 400]) AS h FROM (SELECT row, body, unnest(range(octet_length(body) - 399)) AS p FROM d WHERE octet_length(body) >= 400)),
+t AS (SELECT row, p, lag(p) OVER (PARTITION BY row ORDER BY p) AS before FROM s SEMI JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) m USING (h)),
+i AS (SELECT row, p, count(*) FILTER (before IS NULL OR p > before + 400) OVER (PARTITION BY row ORDER BY p) AS island FROM t),
+r AS MATERIALIZED (SELECT row, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY row, island),
+k AS (SELECT d.row, any_value(doc_id) AS doc_id, any_value(hex(body)) AS body, coalesce(sum(z - a), 0) AS removed, count(a) AS spans,
+        list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM d LEFT JOIN r USING (row) GROUP BY d.row)
+SELECT doc_id, CAST(length(body) // 2 AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans,
+  sha256(unhex(CASE WHEN spans = 0 THEN body ELSE array_to_string([body[2 * (CASE WHEN q = 1 THEN 0 ELSE stops[q - 1] END) + 1 : 2 * (CASE WHEN q > spans THEN length(body) // 2 ELSE starts[q] END)] for q in range(1, spans + 2)], '') END)) AS kept_sha256
+FROM k
+"""
+
+
+__all__ = ["OP2_SQL", "PASSAGE", "Scale", "cut", "deduped_text", "marked", "op2", "remove_repeats", "repeated_spans", "repeated_starts", "runs", "suffix_order"]
