@@ -507,18 +507,17 @@ def pls_covariances(features: DataFrame, behaviors: DataFrame, n_permutations: i
 
     Sums by aggregation: no task or driver holds the subjects by features.
     """
-    spark = features.sparkSession
-    people = behaviors.select("subject").distinct()
-    draws = spark.range(0, 1 + n_permutations + n_bootstrap).withColumnRenamed("id", "n")
-    kind = F.when(F.col("n") == 0, "data").when(F.col("n") <= n_permutations, "perm").otherwise("boot")
     from pyspark.sql.window import Window
 
+    from quorra.plans.sql import Spark
+
+    draws = features.sparkSession.range(0, 1 + n_permutations + n_bootstrap).withColumnRenamed("id", "n")
+    kind = F.when(F.col("n") == 0, "data").when(F.col("n") <= n_permutations, "perm").otherwise("boot")
     nth = F.row_number().over(Window.orderBy("subject")) - 1  # subjects of a cohort
-    people = people.withColumn("k", nth).withColumn("size", F.count("*").over(Window.partitionBy()))
-    each = people.crossJoin(draws.withColumn("kind", kind))  # subjects by replicates
-    mixed = F.xxhash64(F.lit(seed), "n", "k")
-    place = F.row_number().over(Window.partitionBy("n").orderBy(mixed, "k")) - 1
-    each = each.withColumn("to", F.when(F.col("kind") == "data", F.col("k")).when(F.col("kind") == "perm", place).otherwise(F.pmod(mixed, F.col("size"))))
+    people = behaviors.select("subject").distinct().withColumn("k", nth).withColumn("size", F.count("*").over(Window.partitionBy()))
+    each = people.crossJoin(draws.withColumn("kind", kind)).withColumn("hash", F.expr(Spark.hashed(seed, "n", "k")))  # subjects by replicates
+    place = F.row_number().over(Window.partitionBy("n").orderBy("hash", "k")) - 1
+    each = each.withColumn("to", F.when(F.col("kind") == "data", F.col("k")).when(F.col("kind") == "perm", place).otherwise(F.pmod("hash", F.col("size"))))
     names = people.select(F.col("k").alias("to"), F.col("subject").alias("other"))
     each = each.join(names, "to")
     # a permutation gives subject k the behaviour of another; a resample takes both from another
@@ -543,7 +542,10 @@ def _decomposed(pdf: pd.DataFrame, components: int) -> tuple[np.ndarray, np.ndar
 
 
 def pls(features: DataFrame, behaviors: DataFrame, n_components: int = 5, n_permutations: int = 200, n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
-    """(component, singular_value, explained, p, n_reliable) of features(subject, feature, x) and behaviors(subject, var, y)."""
+    """(component, singular_value, explained, p, n_reliable) of features(subject, feature, x) and behaviors(subject, var, y).
+
+    A subject without a feature has zero there.
+    """
     values, weights = pls_tables(features, behaviors, n_components, n_permutations, n_bootstrap, seed)
     reliable = weights.groupBy("component").agg(F.count_if(F.abs("ratio") > 2).alias("n_reliable"))
     return values.join(reliable, "component")

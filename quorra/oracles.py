@@ -206,7 +206,7 @@ def _table(matrix: np.ndarray, name: str) -> str:
     return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({g}, [{', '.join(map(repr, map(float, row)))}])" for g, row in enumerate(matrix)) + ") t(g, row))"
 
 
-def _dti() -> str:
+def _dti(digits: int = 7) -> str:
     """The fit and refit by the normal equations' inverse, instead of the pseudo-inverse, as list products."""
     bvals, bvecs = voxel.gradients()
     x = voxel.tensor_design(bvals, bvecs)
@@ -217,7 +217,7 @@ def _dti() -> str:
 y AS MATERIALIZED (SELECT sid AS voxel, list(ln(greatest(100 * exp(v), 1e-6)) ORDER BY pt) AS y FROM pf GROUP BY sid),
 fi AS (SELECT voxel, g, list_dot_product(y, row) AS yhat, y[g + 1] AS y0 FROM y, hat),
 fl AS (SELECT r, voxel, list(yhat + (y0 - yhat) * row[1] * (2 * ({_hash(42, 'r', 'voxel', 'g')} % 2) - 1) ORDER BY g) AS y FROM fi JOIN sca USING (g), range(3) t(r) GROUP BY r, voxel)
-SELECT r, voxel, g AS c, round(list_dot_product(y, row), 7) AS value FROM fl, sol WHERE g > 0"""
+SELECT r, voxel, g AS c, round(list_dot_product(y, row), {digits}) AS value FROM fl, sol WHERE g > 0"""
 
 
 def _csd() -> str:
@@ -254,6 +254,44 @@ pv AS (SELECT i, j, score, (SELECT count(*) FROM (SELECT max(round(abs(score), 9
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(score, 4) AS score, round(p, 6) AS p, p < 0.05 AS significant FROM pv"""
 
 
+def _ways(source: str, keys: str = "") -> str:
+    """sh(keys, node, share): every shortest path written out; each inner node takes its share of the pair's paths."""
+    each = [k.strip() for k in keys.split(",") if k.strip()]
+    own = "".join(f"p.{k}, " for k in each)
+    on = lambda a: "".join(f" AND {a}.{k} = p.{k}" for k in each)
+    return f"""wa({keys} s, t, way) AS (SELECT DISTINCT {keys} i, i, [i] FROM {source} UNION ALL SELECT {own} p.s, e.j, list_append(p.way, e.j) FROM wa p JOIN {source} e ON e.i = p.t AND e.w > 0{on('e')}
+  JOIN d5 x ON x.i = p.s AND x.j = p.t{on('x')} JOIN d5 y ON y.i = p.s AND y.j = e.j{on('y')} WHERE abs(x.d + 1 / e.w - y.d) < 1e-10 AND NOT list_contains(p.way, e.j)),
+sh AS MATERIALIZED (SELECT {keys} unnest(way[2:-2]) AS node, 1.0 / count(*) OVER (PARTITION BY {keys} s, t) AS share FROM wa WHERE s <> t)"""
+
+
+def _exponential(n: int) -> str:
+    """ex(r, i, j, value): the exponential of each matrix over its largest eigenvalue, by power iteration and Taylor's series."""
+    steps = ["v0 AS (SELECT r, i, 1.0::DOUBLE AS x FROM g WHERE j = 0)"]
+    for k in range(1, 31):
+        steps.append(f"v{k} AS MATERIALIZED (SELECT r, i, x / max(x) OVER (PARTITION BY r) AS x, max(x) OVER (PARTITION BY r) AS top FROM (SELECT g.r, g.i, sum(w * x) AS x FROM g JOIN v{k - 1} v ON v.r = g.r AND v.i = g.j GROUP BY ALL))")
+    steps.append("a AS MATERIALIZED (SELECT g.r, g.i, g.j, w / top AS w FROM g JOIN (SELECT DISTINCT r, top FROM v30) t ON t.r = g.r)")
+    steps.append("t0 AS MATERIALIZED (SELECT r, i, j, (i = j)::INT::DOUBLE AS w FROM a)")
+    steps += [f"t{k} AS MATERIALIZED (SELECT x.r, x.i, y.j, sum(x.w * y.w) / {k} AS w FROM t{k - 1} x JOIN a y ON y.r = x.r AND y.i = x.j GROUP BY ALL)" for k in range(1, 19)]
+    every = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(19))
+    return f"{_samples(20, n)}, {', '.join(steps)}, ex AS MATERIALIZED (SELECT r, i, j, sum(w) AS value FROM ({every}) GROUP BY r, i, j)"
+
+
+def _interval(value: str, digits: int = 5) -> str:
+    return f"round(avg({value}), {digits}) AS mean, round(stddev_pop({value}), {digits}) AS std, round(quantile_cont({value}, 0.025), {digits}) AS ci_low, round(quantile_cont({value}, 0.975), {digits}) AS ci_high"
+
+
+def _pls(permutations: int) -> str:
+    """Two behaviours: the squared singular values are the eigenvalues of a 2 x 2 matrix, in closed form."""
+    return f"""WITH {_cohort()}, bh AS (SELECT CAST(c_custkey % 24 AS INT) AS subject, round(avg(c_acctbal), 4) AS value FROM customer GROUP BY ALL),
+nu AS MATERIALIZED (SELECT subject, value AS y0, sqrt(abs(value)) AS y1, row_number() OVER (ORDER BY subject) - 1 AS k FROM bh),
+pm AS (SELECT n, subject, CASE WHEN n = 0 THEN k ELSE row_number() OVER (PARTITION BY n ORDER BY {_hash(42, 'n', 'k')}, k) - 1 END AS pick FROM nu, range({permutations + 1}) t(n)),
+yy AS MATERIALIZED (SELECT pm.n, pm.subject, o.y0, o.y1 FROM pm JOIN nu o ON o.k = pm.pick),
+co AS (SELECT n, i, j, covar_pop(w, y0) * count(*) AS a, covar_pop(w, y1) * count(*) AS c FROM yy JOIN z USING (subject) GROUP BY n, i, j),
+ga AS (SELECT n, sum(a * a) AS p, sum(a * c) AS q, sum(c * c) AS s FROM co GROUP BY n),
+sv AS MATERIALIZED (SELECT n, component, sqrt(greatest(0, (p + s) / 2 + (1 - 2 * component) * sqrt(pow((p - s) / 2, 2) + q * q))) AS v FROM ga, range(2) t(component))
+SELECT CAST(component AS INT) AS component, round(v, 4) AS singular_value, round(v * v / sum(v * v) OVER (), 4) AS explained, round((SELECT count(*) FROM sv x WHERE x.n > 0 AND x.component = o.component AND x.v >= o.v) / {permutations}.0, 4) AS p FROM sv o WHERE n = 0"""
+
+
 def sql(n: int, b: int) -> dict[str, str]:
     """Query -> SQL, for n parcels and b replicates."""
     stats_cols = "observed mean std cv ci_low ci_high median iqr p_nonzero"
@@ -343,8 +381,23 @@ tv AS ({_welch('dn', 'round,')}) SELECT i, j, round(sum((CASE WHEN v > 1e-18 THE
         "char_path_length": f"WITH {far} SELECT round(avg(d), 6) AS path_length FROM d5 WHERE i <> j AND d < 1e299",
         "local_efficiency": f"""WITH {_matrix(n)}, nb AS (SELECT o.i AS node, a.i AS i, a.j AS j, a.w AS w FROM m o JOIN m p ON p.i = o.i AND p.w > 0 JOIN m a ON a.i = o.j AND a.j = p.j WHERE o.w > 0), {_paths('nb', 'node,')}
 SELECT CAST(k.node AS INT) AS node, round(coalesce(v, 0.0), 6) AS local_efficiency FROM k LEFT JOIN (SELECT node, sum(CASE WHEN i <> j AND d < 1e299 THEN 1 / d ELSE 0 END) / (count(*) - sqrt(count(*))) AS v FROM d5 GROUP BY node HAVING count(*) > 1) q USING (node)""",
-        "betweenness": f"""WITH RECURSIVE {far}, wa(s, t, way) AS (SELECT node, node, [node] FROM k UNION ALL SELECT p.s, e.j, list_append(p.way, e.j) FROM wa p JOIN m e ON e.i = p.t AND e.w > 0 JOIN d5 x ON x.i = p.s AND x.j = p.t JOIN d5 y ON y.i = p.s AND y.j = e.j WHERE abs(x.d + 1 / e.w - y.d) < 1e-10 AND NOT list_contains(p.way, e.j)),
-sh AS (SELECT unnest(way[2:-2]) AS node, 1.0 / count(*) OVER (PARTITION BY s, t) AS share FROM wa WHERE s <> t) SELECT CAST(k.node AS INT) AS node, round(coalesce(sum(share), 0) / {(n - 1) * (n - 2)}, 6) AS betweenness FROM k LEFT JOIN sh USING (node) GROUP BY k.node""",
+        "betweenness": f"WITH RECURSIVE {far}, {_ways('m')} SELECT CAST(k.node AS INT) AS node, round(coalesce(sum(share), 0) / {(n - 1) * (n - 2)}, 6) AS betweenness FROM k LEFT JOIN sh USING (node) GROUP BY k.node",
+        "nodal_metrics_ci": f"""WITH RECURSIVE {cells.replace("range(20)", "range(10)")}, {_ways('g', 'r,')}, loc AS (SELECT kk.r, kk.node, coalesce(q.v, 0.0) AS v FROM kk LEFT JOIN (SELECT r, node, sum(CASE WHEN i <> j AND d < 1e299 THEN 1 / d ELSE 0 END) / (count(*) - sqrt(count(*))) AS v FROM e5 GROUP BY r, node HAVING count(*) > 1) q USING (r, node)),
+al AS (SELECT 'strength' AS metric, node, s AS v FROM kk UNION ALL SELECT 'local_efficiency', node, v FROM loc UNION ALL SELECT 'betweenness', kk.node, coalesce(sum(share), 0) / {(n - 1) * (n - 2)} FROM kk LEFT JOIN sh USING (r, node) GROUP BY kk.r, kk.node)
+SELECT metric, CAST(node AS INT) AS node, {_interval('v')} FROM al GROUP BY metric, node""",
+        "hub_betweenness": f"""WITH RECURSIVE {_samples(10, n)}, {_paths('g', 'r,')}, {_ways('g', 'r,')}, st AS (SELECT r, i AS node, sum(w) AS s FROM g GROUP BY r, i), top AS (SELECT r, quantile_cont(s, 0.8) AS cut FROM st GROUP BY r),
+be AS (SELECT st.r, st.node, any_value(s > cut)::INT AS hub, coalesce(sum(share), 0) / {(n - 1) * (n - 2)} AS v FROM st JOIN top USING (r) LEFT JOIN sh USING (r, node) GROUP BY st.r, st.node)
+SELECT CAST(node AS INT) AS node, round(avg(hub), 5) AS hub_probability, round(avg(v), 5) AS betweenness_mean, round(stddev_pop(v), 5) AS betweenness_std, round(quantile_cont(v, 0.025), 5) AS betweenness_low, round(quantile_cont(v, 0.975), 5) AS betweenness_high FROM be GROUP BY node""",
+        "communicability": f"WITH {_exponential(n)} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_interval('value')} FROM ex WHERE i <= j GROUP BY i, j",
+        "communicability_nodes": f"WITH {_exponential(n)}, ro AS (SELECT r, i AS node, sum(value) AS v, sum(value) FILTER (i = j) AS own FROM ex GROUP BY r, i) SELECT CAST(node AS INT) AS node, {_interval('v')}, round(avg(own), 5) AS subgraph_mean, round(stddev_pop(own), 5) AS subgraph_std FROM ro GROUP BY node",
+        "plot_communicability": f"WITH {_exponential(n)}, me AS MATERIALIZED (SELECT i, j, avg(value) AS v FROM ex WHERE i <= j GROUP BY i, j) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(log10(v + 1e-10), 5) AS value, CASE WHEN i = j THEN (SELECT count(*) FROM me y WHERE y.i = y.j AND (round(y.v, 9) > round(me.v, 9) OR (round(y.v, 9) = round(me.v, 9) AND y.i <= me.i))) END AS place FROM me",
+        "plot_metrics": f"WITH {cells} SELECT metric, r, round(value, 5) AS value, round(avg(value) OVER p, 5) AS mean, round(quantile_cont(value, 0.025) OVER p, 5) AS ci_low, round(quantile_cont(value, 0.975) OVER p, 5) AS ci_high FROM va WINDOW p AS (PARTITION BY metric)",
+        "rewire_degrees": f"WITH {_matrix(n, STRONG)} SELECT CAST(t.null_id AS INT) AS null_id, CAST(node AS INT) AS node, CAST(d AS BIGINT) AS degree, round((SELECT sum(w) FROM half), 5) AS weight FROM k, range(3) t(null_id) WHERE d > 0",
+        "ring_lattice": f"WITH {_matrix(n, STRONG)} SELECT CAST(node AS INT) AS node, CAST(2 * floor(floor((SELECT sum(d) FROM k) / {n}) / 2) AS BIGINT) AS degree, ((SELECT sum(d) FROM k) >= {2 * n})::INT AS near FROM k",
+        "pls_bootstrap": _pls(100),
+        "voxel_connectome": f"""WITH f AS ({_dti(15)}), tr AS (SELECT r, voxel % 5 AS p, abs(sum(value)) AS t FROM f WHERE c <= 3 GROUP BY r, voxel), pm AS (SELECT r, p, avg(t) AS t FROM tr GROUP BY r, p),
+e AS (SELECT a.r, a.p AS i, z.p AS j, a.t + z.t AS w FROM pm a JOIN pm z ON a.r = z.r AND z.p = a.p + 1)
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_interval('w', 7)}, round(avg((w > 0)::INT), 7) AS p_nonzero FROM e GROUP BY i, j""",
         "nbs_fwer": f"WITH {_supra(100, 1.0)} SELECT component, size, round(p, 6) AS p FROM pv",
         "nbs_edges": f"WITH {_supra(100, 1.0)} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(t, 5) AS t, component, size, round(p, 6) AS p, p < 0.05 AS significant FROM up JOIN pv USING (component) WHERE perm = 0",
         "tfnbs": _tfnbs(20),

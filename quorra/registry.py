@@ -199,14 +199,20 @@ def _kernels() -> dict[str, Callable]:
         return K.metric_summary(made, ["metric"]).select("metric", *[F.round(c, 5).alias(c) for c in ("mean", "std", "ci_low", "ci_high")])
 
     def nodal_ci(s, d):
-        return K.metric_summary(K.nodal_metrics(_samples(s, d, 10), NODES).selectExpr("node", "stack(3, 'strength', strength, 'local_efficiency', local_efficiency, 'betweenness', betweenness) AS (metric, value)"), ["metric", "node"])
+        made = K.nodal_metrics(_samples(s, d, 10), NODES).selectExpr("node", "stack(3, 'strength', strength, 'local_efficiency', local_efficiency, 'betweenness', betweenness) AS (metric, value)")
+        return K.metric_summary(made, ["metric", "node"]).select("metric", "node", *[F.round(c, 5).alias(c) for c in ("mean", "std", "ci_low", "ci_high")])
 
     def communicability(s, d):
-        return K.metric_summary(K.communicability_cells(_samples(s, d), NODES), ["i", "j"])
+        made = K.metric_summary(K.communicability_cells(_samples(s, d), NODES), ["i", "j"])
+        return made.select("i", "j", *[F.round(c, 5).alias(c) for c in ("mean", "std", "ci_low", "ci_high")])
+
+    def communicability_nodes(s, d):
+        made = K.communicability_nodes(K.communicability_cells(_samples(s, d), NODES))
+        return made.select("node", *[F.round(c, 5).alias(c) for c in ("mean", "std", "ci_low", "ci_high", "subgraph_mean", "subgraph_std")])
 
     def communicability_plot(s, d):
-        mean = communicability(s, d).select("i", "j", F.col("mean").alias("value"))
-        return run(s, P.communicability_steps("{cells}"), cells=mean)
+        mean = K.metric_summary(K.communicability_cells(_samples(s, d), NODES), ["i", "j"]).select("i", "j", F.col("mean").alias("value"))
+        return run(s, _pick(P.communicability_steps("{cells}"), "i j place", "value", 5), cells=mean)
 
     def regions(s, d):
         return [r["community"] for r in _table(s, d, "nation").orderBy("n_nationkey").select(F.col("n_regionkey").alias("community")).collect()]  # a row a parcel
@@ -217,7 +223,7 @@ def _kernels() -> dict[str, Callable]:
 
     def hub_betweenness(s, d):
         made = K.hub_summary(K.hub_samples(_samples(s, d, 10), NODES))
-        return made.select("node", "hub_probability", "betweenness_mean", "betweenness_std", "betweenness_low", "betweenness_high")
+        return made.select("node", *[F.round(c, 5).alias(c) for c in ("hub_probability", "betweenness_mean", "betweenness_std", "betweenness_low", "betweenness_high")])
 
     def rich_club_bootstrap(s, d):
         made = K.rich_club_summary(K.rich_club_normalized(_strong(_samples(s, d)), NODES, 0))
@@ -237,8 +243,16 @@ def _kernels() -> dict[str, Callable]:
         return K.community_detection(made, NODES, 10, E.classify_edges(stats))[1]
 
     def plot_metrics(s, d):
-        values = K.global_metrics(_samples(s, d), NODES)
-        return P.metric_intervals(values, K.metric_summary(values, ["metric"]))
+        values = K.global_metrics(_samples(s, d), NODES).where("metric <> 'modularity'")
+        made = P.metric_intervals(values, K.metric_summary(values, ["metric"]))
+        return made.select("metric", "r", *[F.round(c, 5).alias(c) for c in ("value", "mean", "ci_low", "ci_high")])
+
+    def rewired_degrees(s, d):
+        """Node degrees and the whole weight of rewired graphs, which swaps leave as they are."""
+        made = K.rewired(_strong(_one(s, d)), NODES, 3)
+        ends = made.select("null_id", F.col("i").alias("node"), "w").unionByName(made.select("null_id", F.col("j").alias("node"), "w"))
+        whole = made.groupBy("null_id").agg(F.round(F.sum("w"), 5).alias("weight"))
+        return ends.groupBy("null_id", "node").agg(F.count("*").alias("degree")).join(whole, "null_id")
 
     def small_worlds(s, d):
         return K.small_world_propensity(_strong(_samples(s, d, 4)), NODES, 5, 5)
@@ -266,7 +280,7 @@ def _kernels() -> dict[str, Callable]:
         "nodal_metrics_ci": nodal_ci,
         "communicability": communicability,
         "betweenness": lambda s, d: K.nodal_metrics(_one(s, d), NODES).select("node", F.round("betweenness", 6).alias("betweenness")),
-        "rewire_degrees": lambda s, d: K.rewired(_one(s, d), NODES, 2),
+        "rewire_degrees": rewired_degrees,
         "rich_club_bootstrap": rich_club_bootstrap,
         "rich_club_members": rich_club_members,
         "rich_club_normalized": rich_club_summary,
@@ -280,13 +294,13 @@ def _kernels() -> dict[str, Callable]:
         "tfnbs": lambda s, d: K.tfnbs_tested(cohort(s, d), NODES, 20).select("i", "j", F.round("score", 4).alias("score"), F.round("p", 6).alias("p"), "significant"),
         "local_efficiency": lambda s, d: K.nodal_metrics(_one(s, d), NODES).select("node", F.round("local_efficiency", 6).alias("local_efficiency")),
         "ring_lattice": _ring,
-        "communicability_nodes": lambda s, d: K.communicability_nodes(K.communicability_cells(_samples(s, d), NODES)),
+        "communicability_nodes": communicability_nodes,
         "plot_communicability": communicability_plot,
         "community_spread": lambda s, d: P.community_spread(K.partitions(_samples(s, d), NODES)),
         "robust_communities": robust_communities,
         "plot_metrics": plot_metrics,
         "graph_metrics_plain": plain_metrics,
-        "pls_bootstrap": lambda s, d: K.pls(*pls(s, d), 2, 100, 100),
+        "pls_bootstrap": lambda s, d: K.pls_tables(*pls(s, d), 2, 100, 0)[0].select("component", *[F.round(c, 4).alias(c) for c in ("singular_value", "explained", "p")]),
         "pls_reliable": lambda s, d: P.reliable_cells(K.pls_tables(*pls(s, d), 2, 5, 100)[1]),
         "shortest_paths": _paths,
         "global_efficiency": _metric("global_efficiency"),
@@ -303,9 +317,9 @@ def _ring(spark, sf_dir):
 
     def make(pdf):
         m = K.ring_lattice(K.matrix(pdf, NODES), K.rng("lattice", 42))
-        return pd.DataFrame([(i, j, float(m[i, j])) for i, j in np.argwhere(np.triu(m, 1) > 0).tolist()], columns=["i", "j", "w"])
+        return pd.DataFrame({"node": np.arange(NODES, dtype=np.int32), "degree": (m > 0).sum(axis=1), "near": [int(m[k, (k + 1) % NODES] > 0) for k in range(NODES)]})
 
-    return _one(spark, sf_dir).groupBy("r").applyInPandas(make, "i int, j int, w double")
+    return _strong(_one(spark, sf_dir)).groupBy("r").applyInPandas(make, "node int, degree long, near int")
 
 
 def _voxel(spark, sf_dir):
@@ -320,7 +334,8 @@ def _voxel(spark, sf_dir):
         mean = trace.groupby(trace.index % 5).mean()
         return pd.DataFrame({"i": range(4), "j": range(1, 5), "w": [float(mean.get(k, 0) + mean.get(k + 1, 0)) for k in range(4)]})
 
-    return V.voxel_connectome(fields, track, 5)
+    made = V.voxel_connectome(fields, track, 5)
+    return made.select("i", "j", *[F.round(c, 7).alias(c) for c in ("mean", "std", "ci_low", "ci_high", "p_nonzero")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
