@@ -148,7 +148,8 @@ def cpm_summary_steps(dialect, bootstraps: int, r_cut: float, seed: int = 42) ->
         ("predictions", steps[-1][1]),
         ("kept", f"SELECT r, sum(CASE WHEN c > {r_cut!r} THEN 1 ELSE 0 END) AS up, sum(CASE WHEN c < -{r_cut!r} THEN 1 ELSE 0 END) AS down FROM cors GROUP BY r"),
         ("edges_kept", "SELECT cast(floor(avg(up)) AS bigint) AS edges_positive, cast(floor(avg(down)) AS bigint) AS edges_negative FROM kept"),
-        ("out", "SELECT corr(predicted, actual) AS r, count(*) AS n, max(edges_positive) AS edges_positive, max(edges_negative) AS edges_negative FROM predictions CROSS JOIN edges_kept"),
+        ("spreads", "SELECT count(*) AS n, covar_pop(predicted, actual) AS c, var_pop(predicted) * var_pop(actual) AS v FROM predictions"),
+        ("out", "SELECT CASE WHEN v > 0 THEN c / sqrt(v) END AS r, n, edges_positive, edges_negative FROM spreads CROSS JOIN edges_kept"),
     ]
 
 

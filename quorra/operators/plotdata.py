@@ -23,12 +23,20 @@ def ordered_nodes_steps() -> Steps:
     ]
 
 
-def clinical_steps(top: int = 5) -> Steps:
-    """Correlation and line of a node's stability (here its strength) with a second score, and the extremes."""
+def line_steps(table: str, x: str, y: str) -> Steps:
+    """line(n, r, slope, intercept) of y on x over the rows that have both; null where a deviation is zero."""
     return [
-        ("line", "SELECT corr(strength, degree) AS r, regr_slope(degree, strength) AS slope, regr_intercept(degree, strength) AS intercept FROM strengths"),
-        ("ranked", "SELECT node, strength, row_number() OVER (ORDER BY strength DESC, node) AS hi, row_number() OVER (ORDER BY strength, node) AS lo FROM strengths"),
-        ("out", f"SELECT node, strength, CASE WHEN hi <= {top} THEN 'top' ELSE 'bottom' END AS side, r, slope, intercept FROM ranked CROSS JOIN line WHERE hi <= {top} OR lo <= {top}"),
+        ("line_sums", f"SELECT count(*) AS n, covar_pop({x}, {y}) AS c, var_pop({x}) AS vx, var_pop({y}) AS vy, avg({x}) AS mx, avg({y}) AS my FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({x}) AND NOT isnan({y})"),
+        ("line", "SELECT n, CASE WHEN vx > 0 AND vy > 0 THEN c / sqrt(vx * vy) END AS r, CASE WHEN n > 2 AND vx > 0 THEN c / vx END AS slope, CASE WHEN n > 2 AND vx > 0 THEN my - c / vx * mx END AS intercept FROM line_sums"),
+    ]
+
+
+def clinical_steps(top: int = 5, table: str = "{scores}") -> Steps:
+    """Correlation and line of a node's stability with a clinical score, and the nodes of extreme stability."""
+    return [
+        *line_steps(table, "stability", "score"),
+        ("ranked", f"SELECT node, stability, score, row_number() OVER (ORDER BY stability DESC, node) AS hi, row_number() OVER (ORDER BY stability, node) AS lo FROM {table} WHERE stability IS NOT NULL AND score IS NOT NULL AND NOT isnan(stability) AND NOT isnan(score)"),
+        ("out", f"SELECT node, stability, score, CASE WHEN hi <= {top} THEN 'top' ELSE 'bottom' END AS side, r, slope, intercept FROM ranked CROSS JOIN line WHERE hi <= {top} OR lo <= {top}"),
     ]
 
 
@@ -41,7 +49,8 @@ def hub_order_steps(table: str) -> Steps:
 
 
 def prediction_steps(table: str) -> Steps:
-    return [("out", f"SELECT corr(predicted, actual) AS r, regr_slope(predicted, actual) AS slope, regr_intercept(predicted, actual) AS intercept, avg(ci_high - ci_low) AS width FROM {table}")]
+    """Correlation and line of predicted on actual values, mean width of the intervals."""
+    return [*line_steps(table, "actual", "predicted"), ("out", f"SELECT max(r) AS r, max(slope) AS slope, max(intercept) AS intercept, avg(ci_high - ci_low) AS width FROM {table} CROSS JOIN line")]
 
 
 def tract_bands_steps(bands: str, compared: str) -> Steps:
@@ -56,7 +65,7 @@ def communicability_steps(table: str) -> Steps:
 
 def latent_variable_steps(scores: str) -> Steps:
     """Correlation of brain and behaviour scores."""
-    return [("out", f"SELECT corr(brain, behaviour) AS r, count(*) AS n FROM {scores}")]
+    return [*line_steps(scores, "brain", "behaviour"), ("out", "SELECT r, n FROM line")]
 
 
 def metric_intervals(values: DataFrame, summary: DataFrame) -> DataFrame:
@@ -89,7 +98,14 @@ def ordered_nodes(partition: DataFrame) -> DataFrame:
     return run(partition.sparkSession, ordered_nodes_steps(), partition=partition)
 
 
-def clinical(strengths: DataFrame, top: int = 5) -> DataFrame:
-    """strengths(node, strength, degree): a node's stability and a second score; rows with a null in either are left out."""
-    steps = [(n, q.replace("FROM strengths", "FROM {strengths}")) for n, q in clinical_steps(top)]
-    return run(strengths.sparkSession, steps, strengths=strengths.dropna(subset=["strength", "degree"]))
+def clinical(scores: DataFrame, top: int = 5) -> DataFrame:
+    """scores(node, stability, score); rows with a null or NaN in either are left out."""
+    return run(scores.sparkSession, clinical_steps(top), scores=scores)
+
+
+def clinical_correlation(scores: DataFrame) -> tuple[float | None, float]:
+    """(r, two-sided p) of stability and score."""
+    from quorra.functions.special import pearson_p_value
+
+    row = run(scores.sparkSession, line_steps("{scores}", "stability", "score"), scores=scores).first()
+    return row["r"], pearson_p_value(row["r"], row["n"]) if row["r"] is not None else 1.0

@@ -124,8 +124,8 @@ def _perm_global(metric: str, tail: str) -> str:
 t AS MATERIALIZED (SELECT perm, round(avg(x) FILTER (g = 1) - avg(x) FILTER (g = 2), 8) AS d FROM who_in JOIN x USING (subject) GROUP BY perm) {tail}"""
 
 
-_GLOBAL = """SELECT round(d, 6) AS diff, round((SELECT count(*) FROM t WHERE perm > 0 AND abs(d) >= abs(o.d)) / 200.0, 6) AS p,
-  round(d / (SELECT sqrt(sum(v * n) / (sum(n) - 2)) FROM (SELECT var_pop(x) AS v, count(*) AS n FROM x JOIN who USING (subject) GROUP BY grp)), 6) AS d FROM t o WHERE perm = 0"""
+_GLOBAL = """SELECT round(d, 3) AS diff, round((SELECT count(*) FROM t WHERE perm > 0 AND abs(d) >= abs(o.d)) / 200.0, 3) AS p,
+  round(d / (SELECT sqrt(sum(v * n) / (sum(n) - 2)) FROM (SELECT var_pop(x) AS v, count(*) AS n FROM x JOIN who USING (subject) GROUP BY grp)), 3) AS d FROM t o WHERE perm = 0"""
 
 
 def _cpm(n_boot: int, tail: str) -> str:
@@ -372,7 +372,7 @@ tv AS ({_welch('dn', 'round,')}) SELECT i, j, round(sum((CASE WHEN v > 1e-18 THE
         "csd_residual_bootstrap": _csd(),
         "plot_uncertainty": f"WITH {_multinomial(b)}, {_stats(b)}, lg AS (SELECT list(log10(mean + 1e-10)) FILTER (log10(mean + 1e-10) > -9) AS m, list(log10(std + 1e-10)) FILTER (log10(std + 1e-10) > -9) AS s, list(cv) FILTER (cv > 0) AS c, avg(cv) FILTER (mean > 0) AS mean_cv FROM stats) SELECT round(list_aggregate(m, 'quantile_cont', 0.05), 6) AS mean_low, round(list_aggregate(m, 'quantile_cont', 0.95), 6) AS mean_high, round(list_aggregate(s, 'quantile_cont', 0.05), 6) AS std_low, round(list_aggregate(s, 'quantile_cont', 0.95), 6) AS std_high, round(list_aggregate(c, 'quantile_cont', 0.95), 6) AS cv_high, round(mean_cv, 6) AS mean_cv FROM lg",
         "plot_communities": "SELECT n_nationkey AS node, n_regionkey AS community, (SELECT count(*) FROM nation y WHERE (y.n_regionkey, y.n_nationkey) < (x.n_regionkey, x.n_nationkey)) AS place, (x.n_nationkey = (SELECT min(n_nationkey) FROM nation y WHERE y.n_regionkey = x.n_regionkey) AND n_regionkey > (SELECT min(n_regionkey) FROM nation))::INT AS boundary FROM nation x",
-        "plot_clinical": f"WITH {_matrix(n)}, li AS (SELECT covar_pop(s, d) AS cv, var_pop(s) AS vs, var_pop(d) AS vd, avg(s) AS ms, avg(d) AS md FROM k), ra AS (SELECT node, s, (SELECT count(*) FROM k y WHERE y.s > k.s OR (y.s = k.s AND y.node < k.node)) AS above, (SELECT count(*) FROM k y WHERE y.s < k.s OR (y.s = k.s AND y.node < k.node)) AS below FROM k) SELECT CAST(node AS INT) AS node, CASE WHEN above < 5 THEN 'top' ELSE 'bottom' END AS side, round(s, 5) AS strength, round(CASE WHEN vs > 0 AND vd > 0 THEN cv / sqrt(vs * vd) END, 5) AS r, round(cv / vs, 5) AS slope, round(md - cv / vs * ms, 5) AS intercept FROM ra, li WHERE above < 5 OR below < 5",
+        "plot_clinical": f"WITH {_matrix(n)}, sc AS MATERIALIZED (SELECT node, s, score FROM k JOIN (SELECT c_nationkey AS node, avg(c_acctbal) AS score FROM customer GROUP BY ALL) USING (node)), li AS (SELECT corr(s, score) AS r, regr_slope(score, s) AS slope, regr_intercept(score, s) AS intercept FROM sc), ra AS (SELECT *, (SELECT count(*) FROM sc y WHERE y.s > sc.s OR (y.s = sc.s AND y.node < sc.node)) AS above, (SELECT count(*) FROM sc y WHERE y.s < sc.s OR (y.s = sc.s AND y.node < sc.node)) AS below FROM sc) SELECT CAST(node AS INT) AS node, CASE WHEN above < 5 THEN 'top' ELSE 'bottom' END AS side, round(s, 4) AS stability, {_rounded('score r slope intercept', 4)} FROM ra, li WHERE above < 5 OR below < 5",
         "plot_nbs": f"WITH {_cohort()}, t AS (SELECT abs(CASE WHEN v > 1e-18 THEN diff / sqrt(v) ELSE 0 END) AS t FROM ({_welch('(SELECT grp AS g, * FROM z)')})) SELECT round(quantile_cont(t, 0.95) FILTER (t <> 0), 5) AS t_high, count(*) FILTER (t > 2) AS n_beyond FROM t",
         "plot_hubs": f"WITH {hubs} SELECT CAST(node AS INT) AS node, hub_class, (SELECT count(*) FROM hub y WHERE (-y.strength, y.node) <= (-x.strength, x.node)) AS by_strength, (SELECT count(*) FROM hub y WHERE (-round(y.participation, 9), y.node) <= (-round(x.participation, 9), x.node)) AS by_participation, (SELECT count(*) FROM hub y WHERE (-y.hub_class, -y.strength, y.node) <= (-x.hub_class, -x.strength, x.node)) AS by_class, {_rounded('strength participation z')} FROM hub x",
         "shortest_paths": f"WITH {far} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d, 6) AS d FROM d5 WHERE i < j AND d < 1e299",

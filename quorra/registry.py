@@ -92,8 +92,8 @@ def _plans() -> dict[str, tuple[Callable, Callable]]:
         "edge_ttest": (group, lambda d: _pick(t_steps(d), "i j", "diff t", 3)),
         "perm_edges_fdr": (group, lambda d: _pick(I.permutation_edges_steps(d, 100, "fdr"), "i j", "diff p p_corrected d", 3)),
         "perm_edges_bonferroni": (group, lambda d: _pick(I.permutation_edges_steps(d, 100, "bonferroni"), "i j", "diff p p_corrected d", 3)),
-        "perm_global_weight": (group, lambda d: _pick(I.permutation_global_steps(d, 200), "", "diff p d")),
-        "perm_global_edges": (group, lambda d: _pick(I.permutation_global_steps(d, 200, metric=edge_count), "", "diff p d")),
+        "perm_global_weight": (group, lambda d: _pick(I.permutation_global_steps(d, 200), "", "diff p d", 3)),
+        "perm_global_edges": (group, lambda d: _pick(I.permutation_global_steps(d, 200, metric=edge_count), "", "diff p d", 3)),
         "perm_global_null": (group, lambda d: _pick(I.permutation_null_steps(d, 200), "perm", "delta", 2)),
         "nbs_stability": (lambda d: views.subject_lines(), lambda d: _pick([*I.subject_samples_steps(d, 5), *I.nbs_stability_steps(d, 5, 1.0, 12, table="subject_samples")], "i j", "freq")),
         "cpm_bagged": (brain, lambda d: _pick(I.cpm_steps(d, 20, cut), "subject", "actual predicted ci_low ci_high", 3)),
@@ -113,7 +113,7 @@ def _plans() -> dict[str, tuple[Callable, Callable]]:
         "csd_residual_bootstrap": (_signals, lambda d: _pick(V.residual_steps(d, 2, [1.0, 0.5, 0.1], V.directions(64)), "r voxel c", "value", 4)),
         "plot_uncertainty": (streams, lambda d: _pick([*_stats(d), *P.uncertainty_steps(d, "edge_stats")], "", "mean_low mean_high std_low std_high cv_high mean_cv")),
         "plot_communities": (graph, lambda d: _pick(P.ordered_nodes_steps(), "node community place boundary")),
-        "plot_clinical": (graph, lambda d: _pick([*G.strength_steps(), *P.clinical_steps()], "node side", "strength r slope intercept", 5)),
+        "plot_clinical": (lambda d: [*graph(d), *views.node_scores()], lambda d: _pick([*G.strength_steps(), ("scores", "SELECT s.node, strength AS stability, score FROM strengths s JOIN {node_scores} c ON c.node = s.node"), *P.clinical_steps(table="scores")], "node side", "stability score r slope intercept", 4)),
         "plot_nbs": (group, lambda d: _pick([*t_steps(d), *P.nbs_steps(d, "ttest", 2.0)], "n_beyond", "t_high", 5)),
         "plot_hubs": (graph, lambda d: _pick([*G.hub_steps(d)[:-1], ("hubs", G.hub_steps(d)[-1][1]), *P.hub_order_steps("hubs")], "node hub_class by_strength by_participation by_class", "strength participation z")),
         "plot_cpm": (brain, lambda d: _pick([*I.cpm_steps(d, 20, cut)[:-1], ("predictions", I.cpm_steps(d, 20, cut)[-1][1]), *P.prediction_steps("predictions")], "", "r slope intercept width", 2)),

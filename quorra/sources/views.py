@@ -70,6 +70,11 @@ def behavior() -> Steps:
     return [("behavior", "SELECT cast(c_custkey % 24 AS int) AS subject, round(avg(c_acctbal), 4) AS value FROM {customer} GROUP BY cast(c_custkey % 24 AS int)")]
 
 
+def node_scores() -> Steps:
+    """node_scores(node, score): a score of each parcel, here its customers' mean balance."""
+    return [("node_scores", "SELECT c_nationkey AS node, avg(c_acctbal) AS score FROM {customer} GROUP BY c_nationkey")]
+
+
 def profiles(dialect) -> Steps:
     return [("profiles", dialect.points("embedding", "vec_id AS sid, label", "sid, label", "{embeddings}"))]
 

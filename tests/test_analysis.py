@@ -275,8 +275,12 @@ def test_table_functions(spark, samples):
     kept = E.disparity_summary(one, 0.5).first()
     assert 0 <= kept["n_retained"] <= kept["n_total"] == one.count() and 0 <= kept["weight_retained"] <= 1
     assert P.ordered_nodes(partition).where("boundary = 1").count() == 1
-    strengths = G.node_strength(one, nodes=nodes)
-    assert P.clinical(strengths, 2).count() == 4
+    scores = G.node_strength(one, nodes=nodes).select("node", F.col("strength").alias("stability"), F.when(F.col("node") > 0, F.col("strength") * 2 + 1).alias("score"))
+    rows = P.clinical(scores, 2).collect()
+    assert len(rows) == 4 and all(r["node"] > 0 and np.isclose(r["slope"], 2) for r in rows)
+    r, p = P.clinical_correlation(scores)
+    assert np.isclose(r, 1) and p < 1e-9
+    assert P.clinical(scores.withColumn("score", F.lit(1.0)), 1).first()["r"] is None
     stats = one.groupBy("i", "j").agg(F.lit(0.0).alias("mean"), F.lit(0.0).alias("std"), F.lit(0.0).alias("cv"))
     assert P.uncertainty(stats).first()["mean_low"] is None  # cells of no weight do not count
 
