@@ -69,8 +69,12 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     out = out.drop("solid", "signs", "others")
     out = out.withColumn("lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)))
     out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    spots = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("hashes", F.transform(spots, lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(-1, WINDOW - 1)])))
+    # a window's hash is made of pairs: of the hashes of two words, of two pairs, of four words and the fifth
+    both = lambda x, y, start: F.zip_with(x, F.slice(y, F.lit(start), F.size("hashed")), lambda a, b: F.xxhash64(a, b))
+    out = out.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("pairs", both(F.col("hashed"), F.col("hashed"), 2))
+    fives = both(both(F.col("pairs"), F.col("pairs"), 3), F.col("hashed"), WINDOW)
+    out = out.withColumn("hashes", F.slice(fives, F.lit(1), F.greatest(F.lit(0), F.size("hashed") - (WINDOW - 1)))).drop("hashed", "pairs")
     # only texts with an equal pair of windows are sorted
     pairs = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     nothing = F.array().cast("array<struct<h:bigint,i:int>>")
