@@ -57,13 +57,19 @@ def cluster_p_steps(permutations: int) -> Steps:
     ]
 
 
-def t_p_steps(dialect, table: str, degrees: int = 20_000) -> Steps:
-    """plain(pt, diff, t, d, p): two-sided p of t with whole degrees of freedom (n1 + n2 - 2, up to ``degrees``), by its finite series."""
+def t_p_steps(dialect, table: str, degrees: int = 20_000, nodes: int = 2_000) -> Steps:
+    """plain(pt, diff, t, d, p): two-sided p of t with whole degrees of freedom (n1 + n2 - 2), by its finite series.
+
+    Above ``degrees``, where the series would have a term for every other line, the density is integrated by Simpson's
+    rule instead; its constant there is the expansion of the gamma functions' ratio, exact to double precision.
+    """
+    factor = "(1 - 1 / (4 * v) + 1 / (32 * v * v) + 5 / (128 * v * v * v))"
     return [
         ("odds", f"SELECT k, exp(sum(CASE WHEN k = 0 THEN 0.0 ELSE ln((2 * k - 1.0) / (2 * k)) END) OVER (ORDER BY k)) AS c, exp(sum(CASE WHEN k = 0 THEN 0.0 ELSE ln(2.0 * k / (2 * k + 1)) END) OVER (ORDER BY k)) AS e FROM {dialect.series(degrees // 2 + 1, 'k')} s"),
-        ("angles", f"SELECT pt, diff, t, d, n1 + n2 - 2 AS v, atan(abs(t) / sqrt(n1 + n2 - 2)) AS x FROM {table} CROSS JOIN counts WHERE perm = 0"),
-        ("sums", "SELECT pt, sum(CASE WHEN v % 2 = 0 THEN c * power(cos(x), 2 * k) ELSE e * power(cos(x), 2 * k + 1) END) AS s FROM angles JOIN odds ON k < CASE WHEN v % 2 = 0 THEN v / 2 ELSE (v - 1) / 2 END GROUP BY pt"),
-        ("plain", f"SELECT a.pt, diff, t, d, greatest(0.0, 1 - CASE WHEN v % 2 = 0 THEN sin(x) * coalesce(s, 0.0) ELSE 2 / {np.pi!r} * (x + sin(x) * coalesce(s, 0.0)) END) AS p FROM angles a LEFT JOIN sums ON sums.pt = a.pt"),
+        ("angles", f"SELECT pt, diff, t, d, n1 + n2 - 2 AS v, atan(abs(t) / sqrt(n1 + n2 - 2)) AS x, least(abs(t), 40.0) AS far FROM {table} CROSS JOIN counts WHERE perm = 0"),  # the density beyond 40 is 0 in a double
+        ("sums", f"SELECT pt, sum(CASE WHEN v % 2 = 0 THEN c * power(cos(x), 2 * k) ELSE e * power(cos(x), 2 * k + 1) END) AS s FROM angles JOIN odds ON v <= {degrees} AND k < CASE WHEN v % 2 = 0 THEN v / 2 ELSE (v - 1) / 2 END GROUP BY pt"),
+        ("areas", f"SELECT pt, max({factor}) * sum(CASE WHEN k IN (0, {nodes}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-(v + 1) / 2 * log1p(power(far * k / {nodes}, 2) / v))) * max(far) / {3 * nodes} / {(2 * np.pi) ** 0.5!r} AS s FROM angles CROSS JOIN {dialect.series(nodes + 1, 'k')} q WHERE v > {degrees} GROUP BY pt"),
+        ("plain", f"SELECT a.pt, diff, t, d, greatest(0.0, 1 - CASE WHEN v > {degrees} THEN 2 * areas.s WHEN v % 2 = 0 THEN sin(x) * coalesce(sums.s, 0.0) ELSE 2 / {np.pi!r} * (x + sin(x) * coalesce(sums.s, 0.0)) END) AS p FROM angles a LEFT JOIN sums ON sums.pt = a.pt LEFT JOIN areas ON areas.pt = a.pt"),
     ]
 
 

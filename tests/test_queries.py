@@ -58,3 +58,41 @@ def test_graph_queries_take_every_line(spark, duck, data):
     strength = registry.queries()["node_strength"](spark, data).collect()
     assert abs(sum(r["strength"] for r in strength) - 2 * total / 1e6) < 1e-3
     assert len(registry.queries()["edge_ttest"](spark, data).collect()) == len(rows)
+
+
+@pytest.fixture(scope="module")
+def many_lines(duck, data, tmp_path_factory):
+    """The tables with every vector 42 times, under keys of its own: over 20,000 lines."""
+    import shutil
+
+    folder = tmp_path_factory.mktemp("many_lines")
+    for f in ("lineitem", "orders", "customer", "supplier", "nation", "events"):
+        shutil.copy(f"{data}/{f}.parquet", folder)
+    duck.sql(f"COPY (SELECT * REPLACE (vec_id + z * 1000 AS vec_id) FROM embeddings, range(42) t(z)) TO '{folder}/embeddings.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["tract_compare"])
+def test_profiles_of_many_lines(spark, duck, many_lines, name):
+    import duckdb
+
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{many_lines}/embeddings.parquet'")
+    got, want = registry.queries()[name](spark, many_lines).toPandas(), base.sql(registry.oracle_sql()[name]).df()
+    got, want = (x[sorted(x.columns)].sort_values("pt").reset_index(drop=True) for x in (got, want))
+    assert len(got) == 64
+    assert (got.astype(want.dtypes) == want).all(axis=None)
+
+
+def test_p_of_t_is_the_same_by_series_and_by_integral(spark):
+    from quorra.functions.special import t_p_value
+    from quorra.operators.tract import t_p_steps
+    from quorra.plans.sql import Spark, run
+
+    points = [0.0, 0.3, 1.96, 3.9, 6.2, 45.0]
+    for lines in (2_001, 5_000, 60_001):
+        table = [("counts", f"SELECT 1000.0D AS n1, {lines - 1000}.0D AS n2"), ("tvals", "SELECT 0 AS perm, pt, 0.0D AS diff, t, 0.0D AS d FROM (VALUES " + ", ".join(f"({k}, {t}D)" for k, t in enumerate(points)) + ") AS v(pt, t)")]
+        for degrees in (100, 20_000):
+            rows = run(spark, [*table, *t_p_steps(Spark, "tvals", degrees)]).collect()
+            assert len(rows) == len(points)
+            assert all(abs(r["p"] - t_p_value(r["t"], lines - 2)) < 1e-9 for r in rows)
