@@ -72,7 +72,7 @@ def many_lines(duck, data, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["tract_compare", "tract_compare_fdr", "plot_tract"])
+@pytest.mark.parametrize("name", ["tract_compare", "tract_compare_fdr", "plot_tract", "tract_compare_bonferroni"])
 def test_profiles_of_many_lines(spark, duck, many_lines, name):
     import duckdb
 
