@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 
+from quorra.operators.draws import multinomial
 from quorra.plans.sql import Spark, Steps, run
 
 #: Above so many replicates, intervals are mean +- z * std.
@@ -24,9 +25,9 @@ def build_sc(streamlines: DataFrame) -> DataFrame:
 def bootstrap_steps(dialect, replicates: int, seed: int = 42, method: str = "multinomial") -> Steps:
     """edge_samples(r, i, j, w): weights of every resample.
 
-    multinomial draws as many rows as there are, with replacement; draws are counted per row before the join, so the
-    join has a row for each row drawn and replicate. poisson gives each row a count of its own (inverse CDF of a hashed
-    uniform): no row numbers, no join, any size; a resample's size then varies.
+    multinomial draws as many rows as there are, with replacement; {sampled} holds them, made by draws.multinomial.
+    poisson gives each row a count of its own (inverse CDF of a hashed uniform): no row numbers, no join, any size; a
+    resample's size then varies.
     """
     if method == "poisson":
         u = f"(({dialect.hashed(seed, 'r', 'sid')} + 0.5) / 4294967296.0)"
@@ -40,11 +41,7 @@ def bootstrap_steps(dialect, replicates: int, seed: int = 42, method: str = "mul
             ("picked", f"SELECT r, a, b, w, {u} AS u FROM {{streamlines}} CROSS JOIN {dialect.series(replicates, 'r')} x WHERE a <> b"),
             ("edge_samples", f"SELECT r, least(a, b) AS i, greatest(a, b) AS j, sum(w * ({count})) AS w FROM picked WHERE u > 0.36787944117144233 GROUP BY r, least(a, b), greatest(a, b)"),
         ]
-    return [
-        ("total", "SELECT count(*) AS n FROM {streamlines}"),
-        ("draws", f"SELECT r, {dialect.hashed(seed, 'r', 'sid')} % n AS sid, count(*) AS k FROM {{streamlines}} CROSS JOIN {dialect.series(replicates, 'r')} x CROSS JOIN total GROUP BY 1, 2"),
-        ("edge_samples", "SELECT r, least(a, b) AS i, greatest(a, b) AS j, sum(w * k) AS w FROM draws JOIN {streamlines} s ON draws.sid = s.sid WHERE a <> b GROUP BY r, least(a, b), greatest(a, b)"),
-    ]
+    return [("edge_samples", "SELECT r, i, j, w FROM {sampled} WHERE r >= 0")]
 
 
 def edge_stats_steps(dialect, replicates: int, ci: float = 0.95, unit: float = 100.0, seed: int = 42, method: str = "multinomial", interval: str = "auto") -> Steps:
@@ -58,9 +55,10 @@ def edge_stats_steps(dialect, replicates: int, ci: float = 0.95, unit: float = 1
         bounds = f"greatest(avg(w) - {z!r} * stddev_pop(w), 0.0) AS ci_low, avg(w) + {z!r} * stddev_pop(w) AS ci_high"
     else:
         bounds = f"{dialect.quantile('w', low)} AS ci_low, {dialect.quantile('w', high)} AS ci_high"
+    seen = "SELECT least(a, b) AS i, greatest(a, b) AS j, sum(w) AS w FROM {streamlines} WHERE a <> b GROUP BY least(a, b), greatest(a, b)" if method == "poisson" else "SELECT i, j, w FROM {sampled} WHERE r < 0"
     return [
         *bootstrap_steps(dialect, replicates, seed, method),
-        ("observed", f"SELECT least(a, b) AS i, greatest(a, b) AS j, sum(w) / cast({unit} AS double) AS observed FROM {{streamlines}} WHERE a <> b GROUP BY least(a, b), greatest(a, b)"),
+        ("observed", f"SELECT i, j, w / cast({unit} AS double) AS observed FROM ({seen}) q"),
         ("dense", f"SELECT o.i, o.j, o.observed, coalesce(e.w, 0) / cast({unit} AS double) AS w FROM observed o CROSS JOIN {dialect.series(replicates, 'r')} x LEFT JOIN edge_samples e ON e.r = x.r AND e.i = o.i AND e.j = o.j"),
         ("raw", f"SELECT i, j, max(observed) AS observed, avg(w) AS mean, stddev_pop(w) AS std, {bounds}, {dialect.quantile('w', 0.5)} AS median, {dialect.quantile('w', 0.75)} - {dialect.quantile('w', 0.25)} AS iqr, cast(sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS double) / {replicates} AS p_nonzero FROM dense GROUP BY i, j"),
         ("edge_stats", "SELECT i, j, observed, mean, std, CASE WHEN mean > 0 THEN std / mean ELSE 0.0 END AS cv, ci_low, ci_high, median, iqr, p_nonzero FROM raw"),
@@ -69,13 +67,17 @@ def edge_stats_steps(dialect, replicates: int, ci: float = 0.95, unit: float = 1
 
 def bootstrap_edge_stats(streamlines: DataFrame, n_bootstrap: int = 1000, ci_level: float = 0.95, seed: int = 42, method: str = "multinomial", unit: float = 1.0, interval: str = "auto") -> DataFrame:
     """One row an observed edge: observed, mean, std (population), cv, percentile interval, median, iqr, p_nonzero."""
-    return run(streamlines.sparkSession, edge_stats_steps(Spark, n_bootstrap, ci_level, unit, seed, method, interval), streamlines=streamlines)
+    return run(streamlines.sparkSession, edge_stats_steps(Spark, n_bootstrap, ci_level, unit, seed, method, interval), **_drawn(streamlines, n_bootstrap, seed, method))
 
 
 def bootstrap_samples(streamlines: DataFrame, n_bootstrap: int, seed: int = 42, method: str = "multinomial") -> DataFrame:
     """(r, i, j, w): the resampled graphs themselves."""
-    steps = bootstrap_steps(Spark, n_bootstrap, seed, method)
-    return run(streamlines.sparkSession, steps, streamlines=streamlines)
+    return run(streamlines.sparkSession, bootstrap_steps(Spark, n_bootstrap, seed, method), **_drawn(streamlines, n_bootstrap, seed, method))
+
+
+def _drawn(streamlines: DataFrame, replicates: int, seed: int, method: str) -> dict[str, DataFrame]:
+    """The input of the steps by its name."""
+    return {"streamlines": streamlines} if method == "poisson" else {"sampled": multinomial(streamlines, replicates, seed)}
 
 
 def classes_steps(table: str, robust: float = 0.95, fragile: tuple[float, float] = (0.05, 0.5), cv: float = 0.5) -> Steps:

@@ -17,6 +17,7 @@ from quorra.operators import kernels as K
 from quorra.operators import plotdata as P
 from quorra.operators import tract as T
 from quorra.operators import voxel as V
+from quorra.operators.draws import multinomial
 from quorra.plans.sql import Spark, Steps, run
 from quorra.sources import files, views
 from quorra.streaming import running
@@ -137,6 +138,8 @@ def _query(make_views, make_steps):
         steps = make_steps(Spark)
         defined = make_views(Spark)
         inputs = _views(spark, sf_dir, defined) | {"nation": _table(spark, sf_dir, "nation")}
+        if any("{sampled}" in q for _, q in steps):
+            inputs["sampled"] = multinomial(inputs["streamlines"], B)
         return run(spark, steps, **{n: df for n, df in inputs.items() if any("{" + n + "}" in q for _, q in steps)})
 
     return call

@@ -293,3 +293,33 @@ def test_normal_interval(spark):
     for e, r in by["normal"].items():
         assert r["mean"] == by["percentile"][e]["mean"] and np.isclose(r["ci_high"], r["mean"] + 1.959964 * r["std"], rtol=1e-5)
         assert np.isclose(r["ci_low"], max(0, r["mean"] - 1.959964 * r["std"]), rtol=1e-5, atol=1e-3)
+
+
+def test_multinomial_draws_over_blocks(spark):
+    from collections import Counter
+    from hashlib import md5
+
+    from quorra.operators.draws import heads, multinomial, pack, unpack
+
+    assert all(heads("42:7:", k, k + 40).tolist() == [int(md5(f"42:7:{x}".encode()).hexdigest()[:8], 16) for x in range(k, k + 40)] for k in (0, 90, 99_980, 4_294_967_280))
+    steps = np.array([0, 254, 255, 256, 3000, 0])
+    assert (unpack(pack(steps)) == np.cumsum(steps)).all()
+    rows = [(k, k * k % 5, k % 4, 1000 + 13 * k) for k in range(300)]  # self-loops and both directions among them
+    want = Counter()
+    for r in range(-1, 6):
+        for k in range(300):
+            _, a, b, w = rows[k if r < 0 else int(md5(f"42:{r}:{k}".encode()).hexdigest()[:8], 16) % 300]
+            if a != b:
+                want[r, min(a, b), max(a, b)] += w
+    spread = [(3 * k + 5, a, b, w) for k, a, b, w in rows]  # numbers with gaps: their order counts
+    for given in (rows, spread):
+        for kind in ("long", "double"):
+            lines = spark.createDataFrame([(*x[:3], int(x[3]) if kind == "long" else float(x[3])) for x in given], f"sid long, a int, b int, w {kind}").repartition(3)
+            got = multinomial(lines, 6, chunk=64, shift=5).collect()
+            assert len(got) == len(want) and all(want[x["r"], x["i"], x["j"]] == x["w"] for x in got)
+    assert multinomial(lines.where("sid < 0"), 6).count() == 0
+    # a row a block and unit goes through the shuffle, whatever the number of draws
+    from quorra.operators.draws import _pieces
+
+    assert sum(1 for unit in range(50) for _ in _pieces(200_000, 50, 42, unit, 1 << 22, 20)) == 50
+    assert sum(len(x[2]) for x in _pieces(200_000, 50, 42, 0, 1 << 22, 20)) < 200_000
