@@ -96,3 +96,10 @@ def test_p_of_t_is_the_same_by_series_and_by_integral(spark):
             rows = run(spark, [*table, *t_p_steps(Spark, "tvals", degrees)]).collect()
             assert len(rows) == len(points)
             assert all(abs(r["p"] - t_p_value(r["t"], lines - 2)) < 1e-9 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_edge_stats", "bootstrap_normal_ci"])
+def test_resampled_queries_send_no_row_a_draw(spark, data, name):
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan or name == "parametric_samples"  # that one's normal draws are hashed too, a row a sample
+    assert "lineitem" not in plan and "l_orderkey" not in plan  # what is left reads the resampled graphs
