@@ -98,7 +98,7 @@ def test_p_of_t_is_the_same_by_series_and_by_integral(spark):
             assert all(abs(r["p"] - t_p_value(r["t"], lines - 2)) < 1e-9 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["bootstrap_edge_stats", "bootstrap_normal_ci", "parametric_samples"])
+@pytest.mark.parametrize("name", ["bootstrap_edge_stats", "bootstrap_normal_ci", "parametric_samples", "plot_uncertainty"])
 def test_resampled_queries_send_no_row_a_draw(spark, data, name):
     plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan or name == "parametric_samples"  # that one's normal draws are hashed too, a row a sample
