@@ -540,3 +540,19 @@ def test_quality_rules_verdict(spark, data):
         near += close
         assert close or rows[i]["kept"] == (not rows[i]["base_failed"] and not far)
     assert near < 3 and len({r["kept"] for r in rows.values()}) == 2
+
+
+def test_codes_in_pairs_are_those_of_single_ids():
+    from quorra.llm import huffman as H
+
+    assert H.PART % H.BLOCK == 0 and H.BLOCK % 2 == 0
+    draw = np.random.default_rng(3)
+    for top in (2, 300, 40_000):
+        for n in (1, 2, 1023, 1025, 3001):
+            ids = np.minimum(draw.zipf(1.2, n), top).astype(np.uint16)
+            lengths = H.code_lengths(np.bincount(ids, minlength=1 << 16))
+            codes = H.canonical_codes(lengths)
+            text = "".join(format(int(codes[k]), "b").zfill(int(lengths[k])) for k in ids)
+            bits, starts = H.encode(ids, codes, lengths)
+            assert bits == int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+            assert starts.tolist() == [int(lengths[ids[:k]].sum()) for k in range(0, n, H.BLOCK)]
