@@ -33,6 +33,8 @@ END = 2
 FILE_BYTES = 12_000_000
 #: Rows of counts that a task adds up.
 FAN = 32
+#: Files whose documents' rows come in one partition.
+GATHER = 8
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -196,7 +198,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, file_
     rows = docs.select(as_long(F.col("doc_id")).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # text: pandas makes longs with nulls doubles
-    made = saved(rows.mapInPandas(tokenize, "file int, docs long, ids long, id array<int>, n array<long>"), "ids-made")
+    made = rows.mapInPandas(tokenize, "file int, docs long, ids long, id array<int>, n array<long>")
+    made = saved(made.repartition(parts(count, FAN)), "ids-made")  # a file for FAN rows: each costs processes of its own
     counts = np.zeros(1 << 16, dtype=np.int64)
     for r in _added(made.select("id", "n")).collect():  # at most FAN rows of at most 65,536 ids
         counts[r["id"]] += np.array(r["n"], dtype=np.int64)
@@ -304,6 +307,7 @@ def read_ids(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; start counts the ids of all documents before.
 
     files is what write_ids returned: a row a file, each read by a task of its own as far as the range partitioning goes.
+    The rows, a few bytes a document, come in a partition for GATHER files, so that whoever writes them makes few files.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     count = files.count()
@@ -325,7 +329,7 @@ def read_ids(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                     rows = []
             yield _frame(rows)
 
-    return file_starts(files).repartitionByRange(count, "file").mapInPandas(run, schema)
+    return file_starts(files).repartitionByRange(count, "file").mapInPandas(run, schema).repartition(parts(count, GATHER))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

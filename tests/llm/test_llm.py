@@ -556,3 +556,15 @@ def test_codes_in_pairs_are_those_of_single_ids():
             bits, starts = H.encode(ids, codes, lengths)
             assert bits == int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
             assert starts.tolist() == [int(lengths[ids[:k]].sum()) for k in range(0, n, H.BLOCK)]
+
+
+def test_id_files_do_not_cost_a_written_file_each(spark):
+    texts = [f"w{k}" for k in range(40)]
+    path = huffman.fresh_dir(spark, "huffman")
+    files = huffman.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, tokens.public("word_bpe_49k.json"), file_bytes=2)
+    made = files.count()
+    assert made == 40 and len(files.inputFiles()) < made / 8
+    rows = huffman.read_ids(spark, path, files)
+    assert rows.rdd.getNumPartitions() <= -(-made // huffman.GATHER)
+    got = sorted(rows.collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == list(range(40)) and got[-1]["start"] + got[-1]["n_tokens"] == files.agg({"ids": "sum"}).first()[0]
