@@ -8,6 +8,7 @@ block's rows, packed in the same way, are met there once for all replicates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import sin
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorra.plans.sql import run
-from quorra.sources.shared import saved
+from quorra.sources.shared import fresh_dir, remove, saved
 
 #: Rows whose draws a unit makes.
 CHUNK = 1 << 22
@@ -27,6 +28,8 @@ SHIFT = 20
 LANES = 16_384
 #: Draws that a task makes, about.
 TASK = 1 << 24
+#: Draws that are on their way at a time, about: all replicates of small tables, one or more of large ones.
+WAVE = 1 << 30
 #: Rows that are packed at a time.
 PACK = 500_000
 
@@ -145,7 +148,7 @@ def _numbered(lines: DataFrame, shift: int) -> DataFrame:
     ], lines=lines)
 
 
-def _packed(lines: DataFrame, shift: int) -> DataFrame:
+def _packed(lines: DataFrame, shift: int, path: str) -> DataFrame:
     """(block, rows, first, last, data): lines(sid, i, j, w) as compressed Arrow tables that lie in one block each."""
 
     def work(batches: Iterator) -> Iterator:
@@ -173,36 +176,43 @@ def _packed(lines: DataFrame, shift: int) -> DataFrame:
         if size:
             yield from flush(held)
 
-    return saved(lines.mapInArrow(work, "block long, rows long, first long, last long, data binary"), "lines-packed")
+    return saved(lines.mapInArrow(work, "block long, rows long, first long, last long, data binary"), "lines-packed", tidy=True, path=path)
 
 
-def multinomial(streamlines: DataFrame, replicates: int, seed: int = 42, chunk: int = CHUNK, shift: int = SHIFT) -> DataFrame:
+def multinomial(streamlines: DataFrame, replicates: int, seed: int = 42, chunk: int = CHUNK, shift: int = SHIFT, wave: int = WAVE) -> DataFrame:
     """(r, i, j, w) of streamlines(sid, a, b, w): summed weights of each edge in each replicate; r is -1 for the graph itself.
 
     Replicates draw as many rows as there are, with replacement, by hashes of (seed, replicate, row). Rows are told by
     sid, which counts from 0 without gaps; if its range is not that of so many rows, its order counts. Self-loops are
-    drawn, but have no edge.
+    drawn, but have no edge. Replicates are made in waves of about ``wave`` draws, whose shuffle files go after each.
     """
     spark = streamlines.sparkSession
     whole = isinstance(streamlines.schema["w"].dataType, T.IntegralType)
     weight = F.col("w").cast("long" if whole else "double")
     lines = streamlines.select(F.col("sid").cast("long").alias("sid"), F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), weight.alias("w"))
-    packed = _packed(lines, shift)
+    paths = [fresh_dir(spark, "lines-packed")]
+    packed = _packed(lines, shift, paths[0])
     span = "coalesce(sum(rows), 0) AS n", "min(first) AS low", "max(last) AS high"
     rows, low, high = packed.selectExpr(*span).first()
     if rows and (low, high) != (0, rows - 1):
-        packed = _packed(_numbered(lines, shift), shift)
+        paths.append(fresh_dir(spark, "lines-packed"))
+        packed = _packed(_numbered(lines, shift), shift, paths[1])
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = f"r long, i {kinds['i']}, j {kinds['j']}, w {kinds['w']}"
     if not rows:
+        remove(spark, *paths)
         return spark.createDataFrame([], schema)
 
-    def draw(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def drawing(first: int, count: int):
+        def draw(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for unit in (x for batch in batches for x in batch.column(0).to_pylist()):
+                part, k = divmod(unit, count)
+                r, block, data = zip(*_pieces(rows, replicates, seed, part * replicates + first + k, chunk, shift))
+                yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "r": pa.array(r, pa.int64()), "data": pa.array(data, pa.binary())})
 
-        for unit in (x for batch in batches for x in batch.column(0).to_pylist()):
-            r, block, data = zip(*_pieces(rows, replicates, seed, unit, chunk, shift))
-            yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "r": pa.array(r, pa.int64()), "data": pa.array(data, pa.binary())})
+        return draw
 
     def add(draws: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         import pyarrow as pa
@@ -234,8 +244,14 @@ def multinomial(streamlines: DataFrame, replicates: int, seed: int = 42, chunk:
             out.append(pd.DataFrame({"r": r, "i": i[seen], "j": j[seen], "w": summed[seen]}))
         return pd.concat(out)
 
-    units = -(-rows // chunk) * replicates
-    tasks = max(1, min(units, rows * replicates // TASK))
-    draws = spark.range(0, units, 1, tasks).mapInArrow(draw, "block long, r long, data binary")
-    made = draws.groupBy("block").cogroup(packed.select("block", "data").groupBy("block")).applyInPandas(add, schema)
-    return saved(made.groupBy("r", "i", "j").agg(F.sum("w").alias("w")), "edge-samples")
+    each, out = max(1, wave // rows), []
+    for first in range(0, replicates, each):
+        count = min(each, replicates - first)
+        units = -(-rows // chunk) * count
+        tasks = max(1, min(units, rows * count // TASK))
+        draws = spark.range(0, units, 1, tasks).mapInArrow(drawing(first, count), "block long, r long, data binary")
+        made = draws.groupBy("block").cogroup(packed.select("block", "data").groupBy("block")).applyInPandas(add, schema)
+        made = made.groupBy("r", "i", "j").agg(F.sum("w").alias("w"))
+        out.append(saved(made if not first else made.where("r >= 0"), "edge-samples", tidy=True))  # the graph itself comes in every wave
+    remove(spark, *paths)
+    return reduce(DataFrame.unionByName, out)

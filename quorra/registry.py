@@ -20,6 +20,7 @@ from quorra.operators import voxel as V
 from quorra.operators.draws import multinomial
 from quorra.plans.sql import Spark, Steps, run
 from quorra.sources import files, views
+from quorra.sources.shared import fresh_dir, remove, saved
 from quorra.streaming import running
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "embeddings", "events")
@@ -133,13 +134,22 @@ def _views(spark: SparkSession, sf_dir: str, steps: Steps) -> dict[str, DataFram
     return out
 
 
+def _sampled(lines: DataFrame, steps: Steps) -> DataFrame:
+    """Resamples of the last view of steps, from the saved rows of the first: they are counted and ranked without being joined again."""
+    spark, path = lines.sparkSession, fresh_dir(lines.sparkSession, "lines")
+    made = saved(lines, "lines", tidy=True, path=path)
+    sampled = multinomial(run(spark, [(steps[0][0], "SELECT * FROM {lines}"), *steps[1:]], lines=made), B)
+    remove(spark, path)
+    return sampled
+
+
 def _query(make_views, make_steps):
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         steps = make_steps(Spark)
         defined = make_views(Spark)
         inputs = _views(spark, sf_dir, defined) | {"nation": _table(spark, sf_dir, "nation")}
         if any("{sampled}" in q for _, q in steps):
-            inputs["sampled"] = multinomial(inputs["streamlines"], B)
+            inputs["sampled"] = _sampled(inputs[defined[0][0]], defined)
         return run(spark, steps, **{n: df for n, df in inputs.items() if any("{" + n + "}" in q for _, q in steps)})
 
     return call

@@ -323,3 +323,13 @@ def test_multinomial_draws_over_blocks(spark):
 
     assert sum(1 for unit in range(50) for _ in _pieces(200_000, 50, 42, unit, 1 << 22, 20)) == 50
     assert sum(len(x[2]) for x in _pieces(200_000, 50, 42, 0, 1 << 22, 20)) < 200_000
+
+
+def test_waves_of_draws_give_the_same_resamples(spark):
+    from quorra.operators.draws import multinomial
+
+    lines = spark.createDataFrame([(k, k % 5, k % 7, 3 * k + 1) for k in range(200)], "sid long, a int, b int, w long")
+    whole = sorted(map(tuple, multinomial(lines, 6).collect()))
+    assert {r[0] for r in whole} == set(range(-1, 6))
+    for wave in (1, 400, 1_100):  # 1, 2 and 5 replicates at a time
+        assert sorted(map(tuple, multinomial(lines, 6, chunk=64, shift=5, wave=wave).collect())) == whole

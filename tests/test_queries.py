@@ -103,3 +103,24 @@ def test_resampled_queries_send_no_row_a_draw(spark, data, name):
     plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan or name == "parametric_samples"  # that one's normal draws are hashed too, a row a sample
     assert "lineitem" not in plan and "l_orderkey" not in plan  # what is left reads the resampled graphs
+
+
+@pytest.mark.parametrize("name", ["bootstrap_normal_ci"])
+def test_resampled_queries_leave_no_disk_behind(spark, data, name):
+    import os
+    import time
+
+    from quorra.sources import shared
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f: os.path.getsize(os.path.join(at, f)) for d in disk for at, _, files in os.walk(d.getPath()) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+    made, before = set(shared._made.get(spark.sparkContext.applicationId, [])), shuffled()
+    registry.queries()[name](spark, data)
+    left = set(shared._made[spark.sparkContext.applicationId]) - made
+    assert left and all(p.rpartition("/")[2].startswith("edge-samples") for p in left)
+    for _ in range(50):  # they go in the background; what stays is one count of the packed lines
+        size = sum(n for f, n in shuffled().items() if f not in before)
+        if size < 1_000:
+            break
+        time.sleep(0.2)
+    assert size < 1_000
