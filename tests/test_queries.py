@@ -105,7 +105,7 @@ def test_resampled_queries_send_no_row_a_draw(spark, data, name):
     assert "lineitem" not in plan and "l_orderkey" not in plan  # what is left reads the resampled graphs
 
 
-@pytest.mark.parametrize("name", ["bootstrap_normal_ci", "parametric_samples"])
+@pytest.mark.parametrize("name", ["bootstrap_normal_ci", "parametric_samples", "plot_uncertainty"])
 def test_resampled_queries_leave_no_disk_behind(spark, data, name):
     import os
     import time
