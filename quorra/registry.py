@@ -135,9 +135,12 @@ def _views(spark: SparkSession, sf_dir: str, steps: Steps) -> dict[str, DataFram
 
 
 def _sampled(lines: DataFrame, steps: Steps) -> DataFrame:
-    """Resamples of the last view of steps, from the saved rows of the first: they are counted and ranked without being joined again."""
+    """Resamples of the last view of steps, from the saved rows of the first: they are counted and ranked without being joined again.
+
+    Each task's rows are saved in order, so that like stands beside like: the table and the shuffle that ranks it take half.
+    """
     spark, path = lines.sparkSession, fresh_dir(lines.sparkSession, "lines")
-    made = saved(lines, "lines", tidy=True, path=path)
+    made = saved(lines.sortWithinPartitions(*lines.columns), "lines", tidy=True, path=path)
     sampled = multinomial(run(spark, [(steps[0][0], "SELECT * FROM {lines}"), *steps[1:]], lines=made), B)
     remove(spark, path)
     return sampled

@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives; the others keep their invariants."""
 
+from pathlib import Path
+
 import pytest
 
 from quorra import registry
@@ -124,3 +126,15 @@ def test_resampled_queries_leave_no_disk_behind(spark, data, name):
             break
         time.sleep(0.2)
     assert size < 1_000
+
+
+def test_resampled_lines_are_saved_in_order(spark, data, monkeypatch):
+    import pyarrow.parquet as pq
+
+    kept = []
+    monkeypatch.setattr(registry, "remove", lambda spark, *paths: kept.extend(paths))
+    registry.queries()["parametric_samples"](spark, data)
+    files = [f for path in kept for f in Path(path.removeprefix("file:")).glob("*.parquet")]
+    rows = [[(r["a"], r["b"], r["w"]) for r in pq.read_table(f, columns=["a", "b", "w"]).to_pylist()] for f in files]
+    assert sum(map(len, rows)) > 1_000
+    assert all(x == sorted(x) for x in rows)
