@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from quorra.plans.sql import run
 from quorra.sources.shared import fresh_dir, remove, saved
 
-#: Rows whose draws a unit makes.
-CHUNK = 1 << 22
+#: Rows whose draws a unit makes, at most; the more, the closer its sorted draws lie and the fewer bytes they take.
+CHUNK = 1 << 25
 #: Rows of a block, as a power of two.
 SHIFT = 20
 #: Hashes that are made side by side, so that they stay in the processor's cache.
@@ -244,6 +244,7 @@ def multinomial(streamlines: DataFrame, replicates: int, seed: int = 42, chunk:
             out.append(pd.DataFrame({"r": r, "i": i[seen], "j": j[seen], "w": summed[seen]}))
         return pd.concat(out)
 
+    chunk = -(-rows // -(-rows // chunk))  # units of equal size
     each, out = max(1, wave // rows), []
     for first in range(0, replicates, each):
         count = min(each, replicates - first)

@@ -333,3 +333,10 @@ def test_waves_of_draws_give_the_same_resamples(spark):
     assert {r[0] for r in whole} == set(range(-1, 6))
     for wave in (1, 400, 1_100):  # 1, 2 and 5 replicates at a time
         assert sorted(map(tuple, multinomial(lines, 6, chunk=64, shift=5, wave=wave).collect())) == whole
+
+
+def test_draws_of_millions_of_rows_take_a_third_of_a_byte():
+    from quorra.operators.draws import CHUNK, SHIFT, _pieces
+
+    rows = 1 << 23
+    assert sum(len(x[2]) for unit in range(-(-rows // CHUNK)) for x in _pieces(rows, 1, 42, unit, CHUNK, SHIFT)) < rows / 3
