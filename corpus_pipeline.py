@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorra.llm import cotrain, mixing, packing, simhash, suffix_dedup, tokens
-from quorra.llm.common import release, saved
+from quorra.llm.common import file_count, release, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,7 +35,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents with nothing left go; null and empty texts, and texts that lose nothing, stay as they are. Rows that repeat a
     text lose all of it that is long enough. An empty table gives an empty one; columns besides COLUMNS are left out.
     """
-    return suffix_dedup.deduped_text(docs, emptied=False).select(*COLUMNS)
+    return suffix_dedup.deduped_text(docs, emptied=False, files=file_count(docs)).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null source is a source; rows without words stay once; rows that repeat are taken one by one. An empty table gives
     an empty one; columns besides COLUMNS are left out.
     """
-    return mixing.mixed_documents(docs).select(*COLUMNS)
+    return mixing.mixed_documents(docs, files=file_count(docs)).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are the end id alone; null and repeated doc_ids are documents of their own; other columns are
     left out. An empty table gives an empty one.
     """
-    return packing.op7(docs, tokens.public("byte_bpe_50k.json"))
+    return packing.op7(docs, tokens.public("byte_bpe_50k.json"), file_count(docs))
 
 
 STAGES = [

@@ -27,15 +27,16 @@ def _solve(edges: pd.DataFrame) -> pd.DataFrame:
             root = up
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node of its component.
 
     Nodes are longs. Self-loops and repeated edges are allowed, edges with a null end are dropped, an empty
     table gives an empty table. Every round re-hangs the neighbours of a node on its smallest neighbour; rounds
-    grow with the logarithm of a component's size, never with its diameter, and each is a written table.
+    grow with the logarithm of a component's size, never with its diameter, and each is a written table, of at most
+    ``files`` files if given.
     """
     edge = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edge = saved(edge, name)
+    edge = saved(edge, name, files=files)
     if edge.count() <= AT_ONCE:
         return edge.withColumn("slot", F.lit(0)).groupBy("slot").applyInPandas(_solve, "node long, root long")
     mark = None
@@ -45,7 +46,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edge = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        edge = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name, files=files)
         now = edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == now:
             break

@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return one.select("source", "source_size", F.least(F.col("weight") * F.col("final"), F.col("cap").cast("double")).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, files: int | None = None) -> DataFrame:
     """(doc_id, source, text_key, size, source_size, target, taken) for each row of docs(doc_id, source, text).
 
     size is the number of words (null text: 0); taken counts the words that the mix takes of the row, repeats
@@ -66,7 +66,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     doc_id and text (nulls as empty), so that ids that are null or repeat spread like any others, then doc_id, then the
     text's hash; rows equal in all are interchangeable.
     Sources are compared by code point, null is a source of its own. A source without words takes
-    nothing. Empty table: empty result. Other columns are ignored.
+    nothing. Empty table: empty result. Other columns are ignored. The table of slices has at most ``files`` files, if given.
     """
     key = F.md5(F.concat(F.coalesce(as_long(F.col("doc_id")).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size"))
@@ -74,7 +74,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     total = rows.count()
     digits = min(5, max(1, math.ceil(math.log(max(1, total / SLICE), 16)))) if total > SLICE else 1
     rows = rows.withColumn("slice", F.substring("key", 1, digits))
-    slices = saved(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mixing-slices")
+    slices = saved(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mixing-slices", files=files)
     goal = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, epochs)
     ahead = F.coalesce(F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     goal = goal.select(F.col("source").alias("g"), "source_size", "target")
@@ -91,14 +91,14 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     return placed.select("doc_id", "source", "text_key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, files: int | None = None) -> DataFrame:
     """docs as the mix takes them: one row for each whole epoch of a document, and a last one cut to the budget's words.
 
     Rows of which no word is taken are left out; a row without words is kept once, since it costs nothing.
     The cut text ends with its last word taken; n_chars, if there, follows the text. Null texts stay null, repeated rows
-    are taken one by one, other columns pass through, whatever their names. Empty table: empty result.
+    are taken one by one, other columns pass through, whatever their names. files: see mixture. Empty table: empty result.
     """
-    plan = mixture(docs, weights, epochs)
+    plan = mixture(docs, weights, epochs, files)
     order = Window.partitionBy("wanted").orderBy("taken")
     plan = plan.select(row_key(F.col("doc_id"), F.col("text_key"), F.col("source")).alias("wanted"), "size", "taken")
     plan = plan.withColumn("nth", F.row_number().over(order))

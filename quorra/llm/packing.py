@@ -99,13 +99,13 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAP
     return docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, schema)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, files: int | None = None) -> DataFrame:
     """cut with sequence_id and offset: pieces of length 1 to capacity packed into few sequences without gaps.
 
     Ranks within a length follow row_key, doc_id and piece; pieces equal in these are interchangeable. A length
     that holds most pieces is ranked slice by slice. Columns of cut that clash with a result or a step of the plan
     (slice, rank, ahead, sequence_id, offset) are replaced or left out; its other columns pass through. Null length:
-    an error. Empty table: empty result.
+    an error. Empty table: empty result. The table of slices has at most ``files`` files, if given.
     """
     cut = cut.drop("slice", "rank", "ahead", "sequence_id", "offset")
     names = cut.columns
@@ -114,7 +114,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = plan({r["length"]: r["count"] for r in counts}, capacity)
     slices = parts(total, SLICE)
     sliced = cut.withColumn("slice", F.pmod(F.xxhash64("row_key", "piece"), F.lit(slices)).cast("int"))
-    per = saved(sliced.groupBy("length", "slice").agg(F.count("*").alias("n")), "pack-slices")
+    per = saved(sliced.groupBy("length", "slice").agg(F.count("*").alias("n")), "pack-slices", files=files)
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("length").alias("l"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy("length", "slice").orderBy("row_key", "doc_id", "piece"))
@@ -138,6 +138,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def op7(docs: DataFrame, vocabulary: str) -> DataFrame:
+def op7(docs: DataFrame, vocabulary: str, files: int | None = None) -> DataFrame:
     cut = saved(pieces(docs, vocabulary), "pieces")
-    return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(cut, files=files).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorra.llm.common import as_long, parts, saved
+from quorra.llm.common import as_long, file_count, parts, saved
 from quorra.llm.components import connected_components
 
 SEED = 42
@@ -165,16 +165,16 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 3, files: int | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all links of at most radius bits between values of the column fp.
 
     distinct has no repeats. In each bucket a value gets one edge, to the first value of its class there, which
-    other links of the bucket may lie between.
+    other links of the bucket may lie between. The pivot table has at most ``files`` files, if given.
     """
     rows = distinct.count()
     cuts = _blocks(rows, radius)
     families = len(cuts) - 1
-    table = saved(pivot_table(distinct, cuts), "simhash-pivots")
+    table = saved(pivot_table(distinct, cuts), "simhash-pivots", files=files)
     # family g's coordinates start at cuts[g] + g; its steps are their differences
     steps = [F.transform(F.sequence(F.lit(low + g), F.lit(high + g - 1)), lambda k: F.get("far", k + 1) - F.get("far", k)) for g, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))]
     keys = [F.struct(F.lit(n).alias("family"), F.xxhash64(*[steps[g] for g in chosen]).alias("same")) for n, chosen in enumerate(combinations(range(families), families - radius))]
@@ -238,8 +238,9 @@ def _keyed_classes(docs: DataFrame, shingle: int, similarity: float, radius: int
     base = docs.select(as_long(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("text_key", F.sha2("text", 256)).withColumn("node", F.xxhash64("text_key"))
     ids = saved(base.select("doc_id", "text_key"), "similar-ids")
+    files = file_count(ids)
     nodes = ids.groupBy("text_key").agg(F.min("doc_id").alias("first_id")).select("text_key", "first_id", F.xxhash64("text_key").alias("node"))
-    nodes = saved(nodes, "similar-nodes")
+    nodes = saved(nodes, "similar-nodes", files=files)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,20 +254,20 @@ def _keyed_classes(docs: DataFrame, shingle: int, similarity: float, radius: int
             yield pd.DataFrame({"node": batch["node"], "shingles": sets})
 
     marks = base.select("node", "text").mapInPandas(mark, "node long, fp long, sampled array<long>")
-    marks = saved(marks.dropDuplicates(["node"]), "similar-marks")
+    marks = saved(marks.dropDuplicates(["node"]), "similar-marks", files=files)
     points = marks.groupBy("fp").agg(F.min("node").alias("low"))
-    close = connected_components(fingerprint_links(points.select("fp"), radius), "similar-close")
+    close = connected_components(fingerprint_links(points.select("fp"), radius, files), "similar-close", files)
     bucket = marks.join(close, marks.fp == close.node, "left").select(marks.node, F.lit(-1).alias("kind"), F.coalesce("root", "fp").alias("value"))
     bucket = bucket.unionByName(marks.select("node", F.posexplode("sampled").alias("kind", "value")))
-    bucket = saved(bucket, "similar-buckets")
+    bucket = saved(bucket, "similar-buckets", files=files)
     first = bucket.groupBy("kind", "value").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     stars = bucket.join(first, ["kind", "value"]).select(F.col("node").alias("a"), F.col("head").alias("b")).where("a != b").distinct()
-    groups = saved(connected_components(stars, "similar-groups").withColumnRenamed("root", "comp"), "similar-members")
+    groups = saved(connected_components(stars, "similar-groups", files).withColumnRenamed("root", "comp"), "similar-members")
     one = nodes.join(groups, "node", "left_semi").select(F.col("node").alias("n"), "first_id")  # one row a text
     one = base.join(one, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = saved(one.select("node", "text").mapInPandas(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "similar-sets")
-    found = verified_links(groups, sets, similarity)
-    roots = connected_components(found, "similar-components")
+    sets = saved(one.select("node", "text").mapInPandas(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "similar-sets", files=files)
+    found = verified_links(groups, sets, similarity, files=files)
+    roots = connected_components(found, "similar-components", files)
     linked = nodes.join(roots, "node").select("text_key", "root", "first_id")
     low = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     linked = linked.join(low, "root").select("text_key", "class_id", F.col("root").cast("string").alias("class_key"))
@@ -279,22 +280,23 @@ def _similar(of_a: F.Column, of_b: F.Column, similarity: float) -> F.Column:
     return (shared > 0) & (shared >= F.lit(similarity) * (F.size(of_a) + F.size(of_b) - shared))
 
 
-def _apart(groups: DataFrame, links: DataFrame | None) -> DataFrame:
+def _apart(groups: DataFrame, links: DataFrame | None, files: int | None = None) -> DataFrame:
     """Members (comp, node) outside the largest verified class of their component; all, if nothing is verified yet."""
     if links is None:
         return groups
-    roots = connected_components(links, "similar-verified")
+    roots = connected_components(links, "similar-verified", files)
     placed = groups.join(roots, "node", "left").select("comp", "node", F.coalesce("root", "node").alias("class"))
     placed = saved(placed, "similar-placed")
     largest = placed.groupBy("comp", "class").count().groupBy("comp").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
     return placed.join(largest, "comp").where("class != main").select("comp", "node")
 
 
-def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: int = 512, rounds: int = 6) -> DataFrame:
+def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: int = 512, rounds: int = 6, files: int | None = None) -> DataFrame:
     """(a, b): links of the given similarity within the components of groups(node, comp); their classes are exact.
 
     sets is (node, shingles: distinct hashes). Components of up to ``few`` members are compared within one block. Larger
-    ones are narrowed down first: in each round what is apart is held against one more member.
+    ones are narrowed down first: in each round what is apart is held against one more member. Its larger tables have at most
+    ``files`` files each, if given.
     """
     sizes = groups.groupBy("comp").agg(F.count("*").alias("n"))
     large = saved(sizes.where(F.col("n") > few).select("comp"), "similar-large")
@@ -307,15 +309,15 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: i
             heads = mine.groupBy("comp").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("a"))
             heads = heads.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
             pairs = rest.join(heads, "comp").where("node != a").join(sets, "node")
-            good = saved(pairs.where(_similar(F.col("of_a"), F.col("shingles"), similarity)).select("a", F.col("node").alias("b")), "similar-good")
+            good = saved(pairs.where(_similar(F.col("of_a"), F.col("shingles"), similarity)).select("a", F.col("node").alias("b")), "similar-good", files=files)
             links = good if links is None else links.unionByName(good)
-            rest = saved(_apart(mine, links), "similar-rest")
+            rest = saved(_apart(mine, links, files), "similar-rest", files=files)
             if rest.isEmpty():
                 break
         rest = rest.unionByName(groups.join(large, "comp", "left_anti").select("comp", "node"))
     count = rest.groupBy("comp").agg(F.count("*").alias("m"))
     wanted = sizes.join(count, "comp").select("comp", F.ceil(F.col("m") / few).cast("int").alias("nc"), F.ceil(F.col("n") / (4 * few)).cast("int").alias("nd"), (F.col("n") <= few).alias("whole"))
-    wanted = saved(wanted, "similar-blocks")
+    wanted = saved(wanted, "similar-blocks", files=files)
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rest.join(wanted, "comp").select("comp", "node", spot("nc").alias("c"), span("nd").alias("d"), F.when(F.col("whole"), 2).otherwise(0).alias("side"))

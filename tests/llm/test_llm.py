@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -568,3 +569,28 @@ def test_id_files_do_not_cost_a_written_file_each(spark):
     assert rows.rdd.getNumPartitions() <= -(-made // huffman.GATHER)
     got = sorted(rows.collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == list(range(40)) and got[-1]["start"] + got[-1]["n_tokens"] == files.agg({"ids": "sum"}).first()[0]
+
+
+def test_stages_do_not_write_a_file_for_each_shuffle_partition(spark, data):
+    import corpus_pipeline
+    from quorra.llm import common
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES[1:]]
+    rows = lambda stage: sorted(map(repr, stage(spark, docs, data).collect()))
+    want = [rows(stage) for stage in stages]
+    most = common.file_count(docs)
+    held = {"spark.sql.shuffle.partitions": str(5 * most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for stage, same, small in zip(stages, want, (("similar-", "simhash-"), ("parse-", "contexts-"), "mixing-slices", "pack-slices"), strict=True):
+            common.release(spark)
+            assert rows(stage) == same
+            app = Path(f"{common.shared_root(spark)}/{spark.sparkContext.applicationId}")
+            files = {d.name: len(list(d.glob("part-*"))) for d in app.iterdir() if d.name.startswith(small) and not d.name.startswith(("parse-sorted", "parse-marked"))}
+            assert files and max(files.values()) <= most, files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
