@@ -444,30 +444,52 @@ def supra_components(tests: DataFrame, nodes: int, threshold: float = 3.0, tail:
     return _grouped(tests.where(beyond), key, "component int, size long", kernel)
 
 
+def _t_matrix(pdf: pd.DataFrame, nodes: int) -> np.ndarray:
+    t = np.zeros((nodes, nodes))
+    t[pdf["i"], pdf["j"]] = t[pdf["j"], pdf["i"]] = pdf["t"]
+    return t
+
+
 def tfnbs(tests: DataFrame, nodes: int, extent: float = 0.5, height: float = 2.0, step: float = 0.1, key: str = "perm") -> DataFrame:
     """(perm, i, j, score) of tests(perm, i, j, t)."""
 
     def kernel(value, pdf):
-        t = np.zeros((nodes, nodes))
-        t[pdf["i"], pdf["j"]] = t[pdf["j"], pdf["i"]] = pdf["t"]
-        s = tfnbs_scores(t, extent, height, step)
+        s = tfnbs_scores(_t_matrix(pdf, nodes), extent, height, step)
         yield from ((int(i), int(j), float(s[i, j])) for i, j in np.argwhere(np.triu(s, 1) != 0))
 
     return _grouped(tests, key, "i int, j int, score double", kernel)
 
 
+def tfnbs_largest(tests: DataFrame, nodes: int, extent: float = 0.5, height: float = 2.0, step: float = 0.1, key: str = "perm") -> DataFrame:
+    """(perm, top): the largest |score| of each test of tests(perm, i, j, t), of which nothing else leaves its task."""
+
+    def kernel(value, pdf):
+        yield (float(np.abs(tfnbs_scores(_t_matrix(pdf, nodes), extent, height, step)).max(initial=0)),)
+
+    return _grouped(tests, key, "top double", kernel)
+
+
 def tfnbs_tested(subject_edges: DataFrame, nodes: int, n_permutations: int = 5000, extent: float = 0.5, height: float = 2.0, step: float = 0.1, seed: int = 42) -> DataFrame:
-    """(i, j, score, p, significant): p is the share of relabellings whose largest |score| is as large; edges of score 0 have p 1 and no row."""
-    scores = tfnbs(permuted_tests(subject_edges, n_permutations, seed), nodes, extent, height, step)
-    return _against_largest(scores, "score", n_permutations)
+    """(i, j, score, p, significant): p is the share of relabellings whose largest |score| is as large; edges of score 0 have p 1 and no row.
+
+    subject_edges is read several times: callers save what is costly to make.
+    """
+    tests = permuted_tests(subject_edges, n_permutations, seed)
+    scores = tfnbs(tests.where("perm = 0"), nodes, extent, height, step)
+    return _against(scores.drop("perm"), tfnbs_largest(tests.where("perm > 0"), nodes, extent, height, step), "score", n_permutations)
 
 
 def _against_largest(found: DataFrame, value: str, permutations: int) -> DataFrame:
-    """The rows of perm 0 with p: the share of relabellings whose largest |value| is as large. One number a relabelling is gathered."""
-    tops = found.where("perm > 0").groupBy("perm").agg(F.max(F.round(F.abs(value), 9)).alias("top")).agg(F.collect_list("top").alias("tops"))
-    rows = found.where("perm = 0").drop("perm").crossJoin(F.broadcast(tops))  # one row of a number a permutation
+    """The rows of perm 0 with p: the share of relabellings whose largest |value| is as large."""
+    largest = found.where("perm > 0").groupBy("perm").agg(F.max(F.abs(value)).alias("top"))
+    return _against(found.where("perm = 0").drop("perm"), largest, value, permutations)
+
+
+def _against(rows: DataFrame, largest: DataFrame, value: str, permutations: int) -> DataFrame:
+    """rows with p: the share of relabellings whose top in largest(perm, top) is as large as |value|. One number a relabelling is gathered."""
+    tops = largest.agg(F.collect_list(F.round("top", 9)).alias("tops"))
     p = F.size(F.filter("tops", lambda x: x >= F.round(F.abs(F.col(value)), 9))) / F.lit(permutations)
-    return rows.withColumn("p", p).withColumn("significant", F.col("p") < 0.05).drop("tops")
+    return rows.crossJoin(F.broadcast(tops)).withColumn("p", p).withColumn("significant", F.col("p") < 0.05).drop("tops")
 
 
 def permuted_tests(subject_edges: DataFrame, permutations: int, seed: int = 42) -> DataFrame:

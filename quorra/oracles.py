@@ -400,7 +400,7 @@ e AS (SELECT a.r, a.p AS i, z.p AS j, a.t + z.t AS w FROM pm a JOIN pm z ON a.r
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_interval('w', 7)}, round(avg((w > 0)::INT), 7) AS p_nonzero FROM e GROUP BY i, j""",
         "nbs_fwer": f"WITH {_supra(100, 1.0)} SELECT component, size, round(p, 6) AS p FROM pv",
         "nbs_edges": f"WITH {_supra(100, 1.0)} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(t, 5) AS t, component, size, round(p, 6) AS p, p < 0.05 AS significant FROM up JOIN pv USING (component) WHERE perm = 0",
-        "tfnbs": _tfnbs(20),
+        "tfnbs": _tfnbs(5000),
         "hub_bootstrap": f"WITH {hub_runs} SELECT CAST(node AS INT) AS node, any_value(mo.hub_class) AS hub_class, round(avg((al.hub_class > 0)::INT), 5) AS hub_probability, round(any_value(stability), 5) AS stability, round(avg(z), 5) AS z_mean, round(stddev_pop(z), 5) AS z_std, round(avg(participation), 5) AS participation_mean, round(stddev_pop(participation), 5) AS participation_std, round(quantile_cont(participation, 0.025), 5) AS participation_low, round(quantile_cont(participation, 0.975), 5) AS participation_high FROM al JOIN mo USING (node) GROUP BY node",
         "rich_club_bootstrap": f"""WITH {_samples(20, n, True)}, kk AS MATERIALIZED (SELECT r, i AS node, sum((w > 0)::INT) AS d FROM g GROUP BY ALL), md AS (SELECT i AS node, count(DISTINCT j) AS d FROM g WHERE w > 0 GROUP BY i),
 lv AS (SELECT unnest(range(CAST(floor(quantile_cont(d, 0.1) FILTER (d > 0)) AS BIGINT), CAST(floor(quantile_cont(d, 0.9)) AS BIGINT) + 1)) AS k FROM (SELECT coalesce(d, 0) AS d FROM range({n}) t(node) LEFT JOIN md USING (node))),

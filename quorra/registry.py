@@ -307,7 +307,7 @@ def _kernels() -> dict[str, Callable]:
         "hub_betweenness": hub_betweenness,
         "nbs_fwer": lambda s, d: K.nbs(cohort(s, d), NODES, 1.0, 100).select("component", "size", F.round("p", 6).alias("p")),
         "nbs_edges": lambda s, d: K.nbs_edges(cohort(s, d), NODES, 1.0, 100).select("i", "j", F.round("t", 5).alias("t"), "component", "size", F.round("p", 6).alias("p"), "significant"),
-        "tfnbs": lambda s, d: K.tfnbs_tested(cohort(s, d), NODES, 20).select("i", "j", F.round("score", 4).alias("score"), F.round("p", 6).alias("p"), "significant"),
+        "tfnbs": lambda s, d: K.tfnbs_tested(saved(cohort(s, d), "cohort", tidy=True), NODES).select("i", "j", F.round("score", 4).alias("score"), F.round("p", 6).alias("p"), "significant"),
         "local_efficiency": lambda s, d: K.nodal_metrics(_one(s, d), NODES).select("node", F.round("local_efficiency", 6).alias("local_efficiency")),
         "ring_lattice": _ring,
         "communicability_nodes": communicability_nodes,

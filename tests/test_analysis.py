@@ -185,6 +185,14 @@ def test_network_statistics(cohort):
     assert all(np.isclose(r["score"], scores[e]) for e, r in free.items())
 
 
+def test_largest_scores_of_relabellings(cohort):
+    tests = K.permuted_tests(cohort, 7)
+    want = collections.defaultdict(float)
+    for r in K.tfnbs(tests, N).collect():
+        want[r["perm"]] = max(want[r["perm"]], abs(r["score"]))
+    assert {r["perm"]: r["top"] for r in K.tfnbs_largest(tests, N).collect()} == want and len(want) == 8
+
+
 def test_stability_of_edges(spark):
     rows = [(f"{s}-{i}-{k}", s, 1 + s // 6, i, i + 1, 1e6 * (5.0 if s < 6 and i == 0 else 1.0)) for s in range(12) for i in range(3) for k in range(30)]
     lines = spark.createDataFrame(rows, "sid string, subject int, grp int, a int, b int, w double")

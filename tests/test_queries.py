@@ -35,6 +35,14 @@ def test_nbs_and_tfnbs(spark, data):
     assert registry.queries()["tfnbs"](spark, data).where("score = 0").count() == 0
 
 
+def test_tfnbs_relabels_as_often_as_the_method(spark, data):
+    rows = registry.queries()["tfnbs"](spark, data).collect()
+    counts = [r["p"] * 5000 for r in rows]
+    assert all(abs(n - round(n)) < 1e-6 for n in counts)
+    assert any(round(n) % 250 for n in counts)  # finer than shares of 20
+    assert "range(5001)" in registry.oracle_sql()["tfnbs"]
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_others_give_rows(spark, data, name):
     rows = registry.queries()[name](spark, data).toPandas()
