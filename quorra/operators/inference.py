@@ -8,12 +8,19 @@ from quorra.plans.sql import Spark, Steps, run
 
 
 def ttest_steps(table: str = "{subject_edges}", key: str = "") -> Steps:
-    """Welch t per edge, group 1 minus group 2; subjects without the edge count as zero. key: a column that tells tests apart."""
+    """Welch t per edge, group 1 minus group 2; subjects without the edge count as zero. key: a column that tells tests apart.
+
+    Squares are taken about the mean of the subjects that have the edge, so that nearly equal weights don't cancel; the zeros of
+    the others are added to them. t is 0 where a group has fewer than two subjects.
+    """
     k = f"{key}, " if key else ""
+    own = lambda g: f"CASE WHEN grp = {g} THEN w END"
+    moments = ", ".join(f"count({own(g)}) AS c{g}, coalesce(avg({own(g)}), 0.0) AS a{g}, coalesce(var_pop({own(g)}), 0.0) AS v{g}" for g in (1, 2))
+    error = lambda g: f"c{g} * (v{g} + a{g} * a{g} * (n{g} - c{g}) / n{g}) / nullif(n{g} - 1, 0) / n{g}"
     return [
-        ("sizes", f"SELECT cast(count(DISTINCT CASE WHEN grp = 1 THEN subject END) AS double) AS n1, cast(count(DISTINCT CASE WHEN grp = 2 THEN subject END) AS double) AS n2 FROM {table}"),
-        ("moments", f"SELECT {k}i, j, sum(CASE WHEN grp = 1 THEN w ELSE 0.0 END) AS s1, sum(CASE WHEN grp = 2 THEN w ELSE 0.0 END) AS s2, sum(CASE WHEN grp = 1 THEN w * w ELSE 0.0 END) AS q1, sum(CASE WHEN grp = 2 THEN w * w ELSE 0.0 END) AS q2 FROM {table} GROUP BY {k}i, j"),
-        ("errors", f"SELECT {k}i, j, s1 / n1 AS m1, s2 / n2 AS m2, greatest(q1 - s1 * s1 / n1, 0.0) / (n1 - 1) / n1 + greatest(q2 - s2 * s2 / n2, 0.0) / (n2 - 1) / n2 AS v FROM moments CROSS JOIN sizes"),
+        ("sizes", f"SELECT nullif(cast(count(DISTINCT CASE WHEN grp = 1 THEN subject END) AS double), 0) AS n1, nullif(cast(count(DISTINCT CASE WHEN grp = 2 THEN subject END) AS double), 0) AS n2 FROM {table}"),
+        ("moments", f"SELECT {k}i, j, {moments} FROM {table} GROUP BY {k}i, j"),
+        ("errors", f"SELECT {k}i, j, a1 * c1 / n1 AS m1, a2 * c2 / n2 AS m2, {error(1)} + {error(2)} AS v FROM moments CROSS JOIN sizes"),
         ("ttest", f"SELECT {k}i, j, m1 - m2 AS diff, CASE WHEN v > 1e-18 THEN (m1 - m2) / sqrt(v) ELSE 0.0 END AS t FROM errors"),
     ]
 

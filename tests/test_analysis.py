@@ -185,6 +185,24 @@ def test_network_statistics(cohort):
     assert all(np.isclose(r["score"], scores[e]) for e, r in free.items())
 
 
+def test_t_of_nearly_equal_subjects(spark):
+    draw = np.random.default_rng(5)
+    equal, near = [864.3217 * (1.0 if s < 12 else 0.7) for s in range(24)], [5000 + (s < 12) + 1e-3 * draw.random() for s in range(24)]
+    gaps = [float(s) if s % 3 else 0.0 for s in range(24)]
+    x = {(0, 1): equal, (0, 2): near, (1, 2): gaps}
+    rows = [(s, 1 + s // 12, i, j, w[s]) for (i, j), w in x.items() for s in range(24) if w[s]]
+    table = spark.createDataFrame(rows, "subject int, grp int, i int, j int, w double")
+    got = {(r["i"], r["j"]): r["t"] for r in I.edge_ttest(table).collect()}
+    t = lambda w: (np.mean(w[:12]) - np.mean(w[12:])) / np.sqrt(np.var(w[:12], ddof=1) / 12 + np.var(w[12:], ddof=1) / 12)
+    assert got[0, 1] == 0 and np.isclose(got[0, 2], t(near), rtol=1e-9) and np.isclose(got[1, 2], t(gaps), rtol=1e-12)
+    assert {(r["i"], r["j"]) for r in K.tfnbs(K.permuted_tests(table.where("i + j <> 2"), 1).where("perm = 0"), 3).collect()} == {(1, 2)}
+
+
+def test_t_of_groups_with_fewer_than_two_subjects(spark):
+    for rows in ([(0, 1, 0, 1, 2.0), (1, 2, 0, 1, 3.0), (2, 2, 0, 1, 4.0)], [(0, 1, 0, 1, 2.0), (1, 1, 0, 1, 3.0)]):
+        assert [r["t"] for r in I.edge_ttest(spark.createDataFrame(rows, "subject int, grp int, i int, j int, w double")).collect()] == [0.0]
+
+
 def test_largest_scores_of_relabellings(cohort):
     tests = K.permuted_tests(cohort, 7)
     want = collections.defaultdict(float)
