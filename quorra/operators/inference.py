@@ -107,12 +107,15 @@ def total_weight_steps() -> Steps:
 
 
 def permutation_global_steps(dialect, permutations: int, seed: int = 42, metric: Steps | None = None) -> Steps:
-    """(diff, p, d) of any scalar of a subject: metric's last step gives metric(subject, x). It is computed once a subject; scalars are permuted."""
+    """(diff, p, d) of any scalar of a subject: metric's last step gives metric(subject, x). It is computed once a subject; scalars are permuted.
+
+    metric has a row for every subject, zeros included. d is 0 where the pooled deviation is 0 or two subjects have none.
+    """
     return [
         *permuted_steps(dialect, permutations, seed),
         *(metric if metric is not None else total_weight_steps()),
         ("diffs", "SELECT perm, round(avg(CASE WHEN g = 1 THEN x END) - avg(CASE WHEN g = 2 THEN x END), 8) AS delta FROM perms JOIN metric m ON m.subject = perms.subject GROUP BY perm"),
-        ("pooled", "SELECT sqrt((var_pop(CASE WHEN g = 1 THEN x END) * count(CASE WHEN g = 1 THEN 1 END) + var_pop(CASE WHEN g = 2 THEN x END) * count(CASE WHEN g = 2 THEN 1 END)) / (count(*) - 2)) AS sd FROM perms JOIN metric m ON m.subject = perms.subject WHERE perm = 0"),
+        ("pooled", "SELECT sqrt((var_pop(CASE WHEN g = 1 THEN x END) * count(CASE WHEN g = 1 THEN 1 END) + var_pop(CASE WHEN g = 2 THEN x END) * count(CASE WHEN g = 2 THEN 1 END)) / nullif(count(*) - 2, 0)) AS sd FROM perms JOIN metric m ON m.subject = perms.subject WHERE perm = 0"),
         ("out", f"SELECT a.delta AS diff, cast(sum(CASE WHEN abs(b.delta) >= abs(a.delta) THEN 1 ELSE 0 END) AS double) / {permutations} AS p, CASE WHEN max(sd) > 0 THEN a.delta / max(sd) ELSE 0.0 END AS d FROM diffs a JOIN diffs b ON b.perm > 0 CROSS JOIN pooled WHERE a.perm = 0 GROUP BY a.delta"),
     ]
 

@@ -68,7 +68,7 @@ def _plans() -> dict[str, tuple[Callable, Callable]]:
     t_steps = lambda d: I.ttest_steps("{subject_edges}")
     cut = critical_r(24, 0.01)
     bands = lambda d: [*T.tract_bootstrap_steps(d, 20)[:-2], ("bands", T.tract_bootstrap_steps(d, 20)[-2][1])]
-    edge_count = [("metric", "SELECT subject, cast(count(*) AS double) AS x FROM {subject_edges} WHERE w > 0.3 GROUP BY subject")]
+    edge_count = [("metric", "SELECT subject, cast(count(CASE WHEN w > 0.3 THEN 1 END) AS double) AS x FROM {subject_edges} GROUP BY subject")]
     return {
         "build_sc": (plain, lambda d: _pick(E.build_sc_steps(), "i j w")),
         "bootstrap_edge_stats": (streams, lambda d: _pick(_stats(d), "i j", stats_cols)),

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from quorra import registry
+from quorra import oracles, registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -35,6 +35,36 @@ def test_nbs_and_tfnbs(spark, data):
     assert registry.queries()["tfnbs"](spark, data).where("score = 0").count() == 0
 
 
+def _light_lines(duck, data, folder, factor, customers="true"):
+    """The tables with lower prices, so that some subjects have no edge above 0.3, and DuckDB on them."""
+    import shutil
+
+    import duckdb
+
+    for f in ("lineitem", "orders", "customer", "supplier", "nation", "embeddings", "events"):
+        shutil.copy(f"{data}/{f}.parquet", folder)
+    duck.sql(f"COPY (SELECT * REPLACE (l_extendedprice * {factor} AS l_extendedprice) FROM lineitem) TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    duck.sql(f"COPY (SELECT * FROM customer WHERE {customers}) TO '{folder}/customer.parquet' (FORMAT parquet)")
+    base = duckdb.connect()
+    for f in ("lineitem", "orders", "customer", "supplier", "nation"):
+        base.sql(f"CREATE VIEW {f} AS SELECT * FROM '{folder}/{f}.parquet'")
+    return base
+
+
+def test_global_edges_count_subjects_without_any(spark, duck, data, tmp_path):
+    base = _light_lines(duck, data, tmp_path, 0.006)
+    strong = base.sql(f"WITH {oracles._cohort()} SELECT count(*) FILTER (w > 0.3) AS n FROM e GROUP BY subject").df()["n"]
+    assert strong.min() == 0 < strong.max() and len(strong) == 24
+    got = registry.queries()["perm_global_edges"](spark, str(tmp_path)).collect()
+    want = base.sql(registry.oracle_sql()["perm_global_edges"]).df()
+    assert [r.asDict() for r in got] == want[list(got[0].asDict())].to_dict("records")
+
+
+def test_global_edges_of_two_subjects(spark, duck, data, tmp_path):
+    _light_lines(duck, data, tmp_path, 1, "c_custkey % 24 IN (1, 13)")
+    assert [r["d"] for r in registry.queries()["perm_global_edges"](spark, str(tmp_path)).collect()] == [0.0]
+
+
 def test_tfnbs_relabels_as_often_as_the_method(spark, data):
     rows = registry.queries()["tfnbs"](spark, data).collect()
     counts = [r["p"] * 5000 for r in rows]
